@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from tideline.llm import near_dedup, quality
 from tideline.llm.common import documents
-from tideline.llm.near_dedup import group_near_duplicates
 
 
 def op3_near_dedup(spark, sf_dir):
-    return group_near_duplicates(documents(spark, sf_dir))
+    return near_dedup.group_near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op3_near_dedup": op3_near_dedup}
-ORACLES: dict[str, str] = {}
+def op7_quality(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir))
+
+
+QUERIES = {"op3_near_dedup": op3_near_dedup, "op7_quality": op7_quality}
+ORACLES = {"op7_quality": quality.ORACLE}
