@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from tideline.llm import near_dedup, quality
+from tideline.llm import decontam, langid, near_dedup, quality, secrets
 from tideline.llm.common import documents
 
 
+def op1_secrets(spark, sf_dir):
+    return secrets.scan(documents(spark, sf_dir))
+
+
+def op2_langid(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op3_near_dedup(spark, sf_dir):
     return near_dedup.group_near_duplicates(documents(spark, sf_dir))
 
@@ -14,5 +22,9 @@ def op7_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir))
 
 
-QUERIES = {"op3_near_dedup": op3_near_dedup, "op7_quality": op7_quality}
+def op9_decontam(spark, sf_dir):
+    return decontam.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_langid, op3_near_dedup, op7_quality, op9_decontam)}
 ORACLES = {"op7_quality": quality.ORACLE}
