@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontam, langid, near_dedup, quality, secrets
+from tideline.llm import decontam, langid, near_dedup, quality, secrets, substring_dedup
 from tideline.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op3_near_dedup(spark, sf_dir):
     return near_dedup.group_near_duplicates(documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup(documents(spark, sf_dir))
+
+
 def op7_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir))
 
@@ -26,5 +30,5 @@ def op9_decontam(spark, sf_dir):
     return decontam.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_langid, op3_near_dedup, op7_quality, op9_decontam)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_langid, op3_near_dedup, op4_substring_dedup, op7_quality, op9_decontam)}
 ORACLES = {"op7_quality": quality.ORACLE}
