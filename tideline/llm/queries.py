@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontam, langid, near_dedup, quality, secrets, substring_dedup
+from tideline.llm import decontam, langid, licenses, mixing, near_dedup, quality, secrets, substring_dedup
 from tideline.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup(documents(spark, sf_dir))
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.probabilities(documents(spark, sf_dir))
+
+
 def op7_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir))
 
@@ -30,5 +34,9 @@ def op9_decontam(spark, sf_dir):
     return decontam.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_langid, op3_near_dedup, op4_substring_dedup, op7_quality, op9_decontam)}
-ORACLES = {"op7_quality": quality.ORACLE}
+def op10_licenses(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_langid, op3_near_dedup, op4_substring_dedup, op6_mixing, op7_quality, op9_decontam, op10_licenses)}
+ORACLES = {"op6_mixing": mixing.oracle(), "op7_quality": quality.ORACLE, "op10_licenses": licenses.oracle()}
