@@ -136,6 +136,13 @@ def blocks(docs: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(docs)
 
 
+def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    if len(values):
+        starts = np.flatnonzero(values[1:] != values[:-1]) + 1
+        yield from zip([0, *starts.tolist()], [*starts.tolist(), len(values)], strict=True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 

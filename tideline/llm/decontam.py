@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import GOLDEN, blocks, mix, texts_of, word_hashes
+from tideline.llm.common import GOLDEN, blocks, mix, runs, texts_of, word_hashes
 
 MASKS = ("1110110111", "1101110011", "1011001111011")
 MIN_MATCHED, MAX_MISSES, MIN_IDENTITY = 10, 1, 0.75
@@ -150,8 +150,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     doc = np.searchsorted(ends, at, "right")
                     order = np.argsort(doc, kind="stable")
                     doc, at, place = doc[order], at[order], place[order]
-                    cuts = np.flatnonzero(np.diff(doc, prepend=-1))
-                    for k, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(doc)], strict=True)):
+                    for lo, hi in runs(doc):
                         d = doc[lo]
                         rows += [(ids[x + d], *m) for m in bench.matches(words, int(ends[d] - counts[d]), int(ends[d]), at[lo:hi], place[lo:hi])]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
