@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import CHUNK, mix, powers, prefix_hash
+from tideline.llm.common import CHUNK, mix, powers, prefix_hash, runs
 
 SPAN, GRAM = 50, 26
 WINDOW = SPAN - GRAM + 1
@@ -164,8 +164,7 @@ def message_rows(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
     b = bucket_of(parse.trigger[rep], buckets)
     grp = int(pdf["grp"].iloc[0])
     rows = []
-    bounds = np.flatnonzero(np.diff(b, prepend=-1))
-    for lo, hi in zip(bounds, [*bounds[1:], len(b)], strict=True):
+    for lo, hi in runs(b):
         own = rep[lo:hi]
         owners, width = narrow(ids[parse.doc[own]])
         rows.append((int(b[lo]), grp, pack(short(parse.trigger[own])), pack(parse.hash[own]), owners, width))
@@ -291,8 +290,7 @@ def suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
     position = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["positions"]])
     source = np.repeat(np.arange(len(sizes)), sizes)[phrase]
     rows = []
-    bounds = np.flatnonzero(np.diff(source, prepend=-1))
-    for lo, hi in zip(bounds, [*bounds[1:], len(source)], strict=True):
+    for lo, hi in runs(source):
         k = source[lo]
         rows.append((int(pdf["grp"].iloc[k]), 2, int(pdf["bucket"].iloc[k]), pack(position[phrase[lo:hi]]), pack(np.stack([a[lo:hi], b[lo:hi]]).astype(np.int64))))
     return pd.DataFrame(rows, columns=columns)
