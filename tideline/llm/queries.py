@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontam, langid, licenses, mixing, near_dedup, quality, secrets, substring_dedup
+from tideline.llm import decontam, langid, licenses, mixing, near_dedup, pii, quality, secrets, substring_dedup
 from tideline.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup(documents(spark, sf_dir))
 
 
+def op5_pii(spark, sf_dir):
+    return pii.pseudonymize(documents(spark, sf_dir))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.probabilities(documents(spark, sf_dir))
 
@@ -38,5 +42,5 @@ def op10_licenses(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_langid, op3_near_dedup, op4_substring_dedup, op6_mixing, op7_quality, op9_decontam, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_langid, op3_near_dedup, op4_substring_dedup, op5_pii, op6_mixing, op7_quality, op9_decontam, op10_licenses)}
 ORACLES = {"op6_mixing": mixing.oracle(), "op7_quality": quality.ORACLE, "op10_licenses": licenses.oracle()}
