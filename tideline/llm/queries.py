@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontam, langid, licenses, mixing, near_dedup, pii, quality, secrets, substring_dedup
+from tideline.llm import decontam, html_extract, langid, licenses, mixing, near_dedup, pii, quality, secrets, substring_dedup
 from tideline.llm.common import documents
 
 
@@ -34,6 +34,10 @@ def op7_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir))
 
 
+def op8_html(spark, sf_dir):
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_decontam(spark, sf_dir):
     return decontam.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -42,5 +46,5 @@ def op10_licenses(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_langid, op3_near_dedup, op4_substring_dedup, op5_pii, op6_mixing, op7_quality, op9_decontam, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_langid, op3_near_dedup, op4_substring_dedup, op5_pii, op6_mixing, op7_quality, op8_html, op9_decontam, op10_licenses)}
 ORACLES = {"op6_mixing": mixing.oracle(), "op7_quality": quality.ORACLE, "op10_licenses": licenses.oracle()}
