@@ -104,15 +104,22 @@ def seek_many(log: DataFrame, targets: DataFrame) -> DataFrame:
     after a row. The stream is range partitioned, and what a partition's tail needs from
     later partitions is the minimum key of those, a list as short as the partitions.
     """
+    n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probes = targets.select(F.col("target").alias("at")).distinct().withColumn("is_key", F.lit(0))
     stored = live_keys(log).select(F.col("key").alias("at"), F.lit(1).alias("is_key"))
-    merged = probes.unionByName(stored).repartitionByRange("at").withColumn("part", F.spark_partition_id())
-    first = merged.where("is_key = 1").groupBy("part").agg(F.min("at").alias("first_key"))
-    later = first.select("part", "first_key")
-    here = Window.partitionBy("part").orderBy("at", "is_key").rowsBetween(0, Window.unboundedFollowing)
-    local = merged.withColumn("next_here", F.min(F.when(F.col("is_key") == 1, F.col("at"))).over(here)).where("is_key = 0")
-    open_tail = local.where("next_here IS NULL").alias("l").join(F.broadcast(later.alias("r")), F.col("r.part") > F.col("l.part"), "left").groupBy("l.at").agg(F.min("first_key").alias("key"))
-    return local.where("next_here IS NOT NULL").select(F.col("at").alias("target"), F.col("next_here").alias("key")).unionByName(open_tail.select(F.col("at").alias("target"), "key"))
+    # ordered by range, then numbered in order: the number of keys before a row is the rank of its next key
+    merged = probes.unionByName(stored).repartitionByRange(n, "at").withColumn("part", F.spark_partition_id())
+    local = Window.partitionBy("part").orderBy("at", "is_key")
+    here = F.min(F.when(F.col("is_key") == 1, F.col("at"))).over(local.rowsBetween(0, Window.unboundedFollowing))
+    first = F.min(F.when(F.col("is_key") == 1, F.col("at"))).over(Window.partitionBy("part"))
+    rows = merged.withColumn("next_here", here).withColumn("first_key", first)
+    # one pass yields the answers and, per part, its first key: one row for each partition
+    tagged = rows.where("is_key = 0 OR at = first_key")
+    heads = tagged.where("is_key = 1").select(F.col("part").alias("head_part"), F.col("at").alias("head")).distinct()
+    asked = tagged.where("is_key = 0").select("at", "part", "next_here")
+    later = asked.where("next_here IS NULL").join(F.broadcast(heads), F.col("head_part") > F.col("part"), "left").groupBy("at").agg(F.min("head").alias("key"))
+    found = asked.where("next_here IS NOT NULL").select(F.col("at").alias("target"), F.col("next_here").alias("key"))
+    return found.unionByName(later.select(F.col("at").alias("target"), "key"))
 
 
 def snapshot(log: DataFrame, seq: int) -> DataFrame:

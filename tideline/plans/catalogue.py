@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.operators import resolve
+from tideline.functions import bloom
+from tideline.functions.records import crc32, encode_entry, expiry_of, is_expired, record_size, value_of
+from tideline.operators import compaction, resolve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,7 +32,7 @@ LOG_SQL = """log AS (
   SELECT 'user:' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, event_id AS seq,
          CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS op,
          CASE WHEN event_type = 'error' THEN NULL ELSE event_type || '|' || props END AS value,
-         epoch_ms(ts) AS ts_ms
+         epoch_us(ts) // 1000 AS ts_ms
   FROM events),
 latest AS (SELECT key, seq, op, value, ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1),
 live AS (SELECT key, seq, value, ts_ms FROM latest WHERE op = 1)"""
@@ -51,3 +53,225 @@ def query(name: str, sql: str | None):
 @query("scan", "SELECT key, value FROM live")
 def _scan(spark, d):
     return resolve.scan(event_log(spark, d))
+
+
+@query("keys", "SELECT key FROM live")
+def _keys(spark, d):
+    return resolve.keys(event_log(spark, d))
+
+
+@query("get", "SELECT key, value FROM live WHERE key = 'user:000000'")
+def _get(spark, d):
+    return resolve.get(event_log(spark, d), "user:000000")
+
+
+PROBES = ("user:000000", "user:000042", "user:999999")
+PROBE_SQL = "probes(key) AS (VALUES ('user:000000'), ('user:000042'), ('user:999999'))"
+
+
+def probes(spark: SparkSession, name: str = "key", values: tuple[str, ...] = PROBES) -> DataFrame:
+    return spark.createDataFrame([(v,) for v in values], f"{name} string")
+
+
+@query("multi_get", f", {PROBE_SQL} SELECT p.key, live.value FROM probes p LEFT JOIN live ON p.key = live.key")
+def _multi_get(spark, d):
+    return resolve.multi_get(event_log(spark, d), probes(spark))
+
+
+@query("exists", f", {PROBE_SQL} SELECT p.key, live.key IS NOT NULL AS present FROM probes p LEFT JOIN live ON p.key = live.key")
+def _exists(spark, d):
+    return resolve.exists(event_log(spark, d), probes(spark))
+
+
+@query("range_incl_excl", "SELECT key, value FROM live WHERE key >= 'user:000010' AND key < 'user:000020'")
+def _range_incl_excl(spark, d):
+    return resolve.range_scan(event_log(spark, d), "user:000010", "user:000020")
+
+
+@query("range_excl_incl", "SELECT key, value FROM live WHERE key > 'user:000010' AND key <= 'user:000020'")
+def _range_excl_incl(spark, d):
+    return resolve.range_scan(event_log(spark, d), "user:000010", "user:000020", start_inclusive=False, end_inclusive=True)
+
+
+@query("range_from", "SELECT key, value FROM live WHERE key >= 'user:000005'")
+def _range_from(spark, d):
+    return resolve.range_scan(event_log(spark, d), "user:000005")
+
+
+@query("range_to", "SELECT key, value FROM live WHERE key <= 'user:000008'")
+def _range_to(spark, d):
+    return resolve.range_scan(event_log(spark, d), None, "user:000008", end_inclusive=True)
+
+
+@query("range_inverted", "SELECT key, value FROM live WHERE key >= 'user:000020' AND key < 'user:000010'")
+def _range_inverted(spark, d):
+    return resolve.range_scan(event_log(spark, d), "user:000020", "user:000010")
+
+
+@query("prefix", "SELECT key, value FROM live WHERE starts_with(key, 'user:0000')")
+def _prefix(spark, d):
+    return resolve.prefix_scan(event_log(spark, d), "user:0000")
+
+
+@query("seek", "SELECT key, value FROM live WHERE key >= 'user:000003' ORDER BY key LIMIT 1")
+def _seek(spark, d):
+    return resolve.seek(event_log(spark, d), "user:000003")
+
+
+TARGETS = ("", "user:000003", "user:0000035", "user:000100", "zzz")
+
+
+@query("seek_many", ", targets(target) AS (VALUES (''), ('user:000003'), ('user:0000035'), ('user:000100'), ('zzz')) SELECT target, (SELECT min(key) FROM live WHERE key >= target) AS key FROM targets")
+def _seek_many(spark, d):
+    return resolve.seek_many(event_log(spark, d), probes(spark, "target", TARGETS))
+
+
+@query("snapshot_at_seq", ", s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE seq <= 500) WHERE rn = 1 AND op = 1) SELECT key, value FROM s")
+def _snapshot(spark, d):
+    return resolve.snapshot(event_log(spark, d), 500)
+
+
+@query("tombstones", "SELECT key FROM latest WHERE op = 2")
+def _tombstones(spark, d):
+    return resolve.tombstones(event_log(spark, d))
+
+
+@query("delete_existed", ", h AS (SELECT key, seq, op, lag(op) OVER (PARTITION BY key ORDER BY seq) AS before FROM log) SELECT key, seq, coalesce(before = 1, false) AS existed FROM h WHERE op = 2")
+def _delete_existed(spark, d):
+    return resolve.delete_existed(event_log(spark, d))
+
+
+RUN = 1024
+RUN_SQL = f"runs AS (SELECT key, seq, op, value, seq // {RUN} AS run FROM log), newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, key ORDER BY seq DESC) AS rn FROM runs) WHERE rn = 1)"
+META_SQL = f"{RUN_SQL}, meta AS (SELECT run, min(key) AS lo, max(key) AS hi, count(*) AS n, CAST(sum(9 + strlen(key) + coalesce(strlen(value), 0)) AS BIGINT) AS bytes FROM newest GROUP BY run)"
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest record per key of each fixed run of seq: what a flush per run would write."""
+    log = event_log(spark, sf_dir).withColumn("run", F.floor(F.col("seq") / RUN))
+    newest = Window.partitionBy("run", "key").orderBy(F.col("seq").desc())
+    return log.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+
+
+@query("file_meta", f", {META_SQL} SELECT run, lo, hi, n, bytes FROM meta")
+def _file_meta(spark, d):
+    return compaction.file_metadata(runs(spark, d))
+
+
+@query("overlap_join", f", {META_SQL} SELECT a.run AS a, b.run AS b FROM meta a JOIN meta b ON a.run < b.run AND a.lo <= b.hi AND b.lo <= a.hi")
+def _overlap_join(spark, d):
+    return compaction.overlapping_runs(compaction.file_metadata(runs(spark, d)))
+
+
+ORDER_SQL = """o AS (SELECT 'o:' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS key, o_orderkey // 1000 AS part, o_custkey FROM orders),
+meta AS (SELECT part * 2 + k AS run, min(key) AS lo, max(key) AS hi FROM o, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR o_custkey % 50 = 0 GROUP BY ALL)"""
+
+
+def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs for each thousand orders, all and a sparse part: each overlaps its twin alone."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = orders.select(F.concat(F.lit("o:"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("key"), F.floor(F.col("o_orderkey") / 1000).alias("part"), "o_custkey", F.lit(None).cast("string").alias("value"))
+    both = rows.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).where("k = 0 OR o_custkey % 50 = 0")
+    return both.withColumn("run", F.col("part") * 2 + F.col("k"))
+
+
+@query("overlap_orders", None)
+def _overlap_orders(spark, d):
+    return compaction.overlapping_runs(compaction.file_metadata(order_runs(spark, d)))
+
+
+ORACLES["overlap_orders"] = f"WITH {ORDER_SQL} SELECT a.run AS a, b.run AS b FROM meta a JOIN meta b ON a.run < b.run AND a.lo <= b.hi AND b.lo <= a.hi"
+
+
+@query("union_range", f", {META_SQL} SELECT min(lo) AS lo, max(hi) AS hi, CAST(sum(bytes) AS BIGINT) AS bytes, min(run) AS oldest FROM meta")
+def _union_range(spark, d):
+    return compaction.file_metadata(runs(spark, d)).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("bytes").alias("bytes"), F.min("run").alias("oldest"))
+
+
+@query("record_sizes", "SELECT key, CAST(9 + strlen(key) + coalesce(strlen(value), 0) AS BIGINT) AS bytes FROM latest")
+def _record_sizes(spark, d):
+    return resolve.latest(event_log(spark, d)).select("key", record_size(F.col("key"), F.col("value")).alias("bytes"))
+
+
+@query("read_attribution", f", {RUN_SQL} SELECT run, count(*) AS n_keys FROM (SELECT key, max(run) AS run FROM newest GROUP BY key) GROUP BY run")
+def _read_attribution(spark, d):
+    return runs(spark, d).groupBy("key").agg(F.max("run").alias("run")).groupBy("run").agg(F.count("*").alias("n_keys"))
+
+
+@query("shadowed", f", {RUN_SQL} SELECT count(*) AS n, CAST(sum(CASE WHEN run < top THEN 1 ELSE 0 END) AS BIGINT) AS shadowed FROM (SELECT run, max(run) OVER (PARTITION BY key) AS top FROM newest)")
+def _shadowed(spark, d):
+    top = F.max("run").over(Window.partitionBy("key"))
+    return runs(spark, d).select("run", top.alias("top")).agg(F.count("*").alias("n"), F.sum((F.col("run") < F.col("top")).cast("long")).alias("shadowed"))
+
+
+@query("merge_keep_tombstones", "SELECT key, op, value FROM latest")
+def _merge_keep(spark, d):
+    log = event_log(spark, d)
+    return resolve.merge_sources([log.where("seq >= 512"), log.where("seq < 512")], keep_tombstones=True).select("key", F.col("op").cast("int").alias("op"), "value")
+
+
+@query("merge_hide_tombstones", "SELECT key, value FROM live")
+def _merge_hide(spark, d):
+    log = event_log(spark, d)
+    return resolve.merge_sources([log.where("seq >= 512"), log.where("seq < 512")]).select("key", "value")
+
+
+@query("compact_drop", f", {RUN_SQL}, m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r2 FROM newest) WHERE r2 = 1 AND op = 1) SELECT key, seq, value FROM m")
+def _compact_drop(spark, d):
+    return compaction.merge_runs(runs(spark, d), True).select("key", "seq", "value")
+
+
+@query("write_amp", f", {META_SQL}, t AS (SELECT CAST(sum(bytes) AS BIGINT) AS flushed FROM meta), c AS (SELECT CAST(sum(9 + strlen(key) + strlen(value)) AS BIGINT) AS written FROM live) SELECT flushed, written, round(CASE WHEN flushed > 0 THEN CAST(flushed + written AS DOUBLE) / flushed END, 6) AS write_amplification FROM t, c")
+def _write_amp(spark, d):
+    flushed = compaction.file_metadata(runs(spark, d)).agg(F.sum("bytes").alias("flushed"))
+    written = resolve.live(event_log(spark, d)).agg(F.sum(record_size(F.col("key"), F.col("value"))).alias("written"))
+    both = flushed.join(written)  # one row each
+    return both.withColumn("write_amplification", F.round((F.col("flushed") + F.col("written")).cast("double") / F.nullif("flushed", F.lit(0)), 6))
+
+
+@query("level_capacities", "SELECT CAST(i AS BIGINT) AS level, CAST(8388608 * power(10, greatest(i - 1, 0)) AS BIGINT) AS capacity FROM range(1, 8) t(i)")
+def _level_capacities(spark, d):
+    return spark.range(1, 8).select(F.col("id").alias("level"), (F.lit(8388608) * F.pow(F.lit(10.0), F.greatest(F.col("id") - 1, F.lit(0)))).cast("long").alias("capacity"))
+
+
+@query("stats_ops", "SELECT op, count(*) AS n, count(DISTINCT key) AS n_keys FROM log GROUP BY op")
+def _stats_ops(spark, d):
+    return event_log(spark, d).groupBy(F.col("op").cast("int").alias("op")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("n_keys"))
+
+
+@query("bloom_params", f", {META_SQL}, m AS (SELECT run, n, greatest(CAST(ceil(-n * ln(0.01::DOUBLE) / (ln(2.0::DOUBLE) * ln(2.0::DOUBLE))) AS BIGINT), 64) AS m FROM meta) SELECT run, n, m, CAST(least(greatest(round(m / n::DOUBLE * ln(2.0::DOUBLE)), 1), 30) AS BIGINT) AS k FROM m")
+def _bloom_params(spark, d):
+    sized = compaction.file_metadata(runs(spark, d)).select("run", "n", bloom.num_bits(F.col("n")).alias("m"))
+    return sized.withColumn("k", bloom.num_hashes(F.col("m"), F.col("n")))
+
+
+@query("bloom_membership", "SELECT key, true AS maybe FROM (SELECT DISTINCT key FROM log)")
+def _bloom_membership(spark, d):
+    """No false negative: every stored key may be contained in a filter of all keys."""
+    keys = event_log(spark, d).select("key").distinct()
+    return bloom.might_contain(keys, bloom.build(keys, 65_536, 7), 65_536, 7)
+
+
+TTL_MS, AS_OF_MS = 86_400_000, 1_706_659_200_000
+
+
+@query("ttl_state", f", s AS (SELECT CASE WHEN op = 2 THEN 'absent' WHEN ts_ms + {TTL_MS} <= {AS_OF_MS} THEN 'expired' ELSE 'live' END AS state FROM latest) SELECT state, count(*) AS n FROM s GROUP BY state")
+def _ttl_state(spark, d):
+    expired = is_expired(F.col("ts_ms") + TTL_MS, F.lit(AS_OF_MS))
+    state = F.when(F.col("op") == resolve.DELETE, "absent").when(expired, "expired").otherwise("live")
+    return resolve.latest(event_log(spark, d)).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("ttl_entries", f"SELECT key, ts_ms + {TTL_MS} AS expires_at_ms, value FROM live WHERE ts_ms + {TTL_MS} > {AS_OF_MS}")
+def _ttl_entries(spark, d):
+    """Entries through the text form of the cache and back."""
+    raw = resolve.live(event_log(spark, d)).select("key", encode_entry(F.col("ts_ms") + TTL_MS, F.col("value")).alias("raw"))
+    rows = raw.select("key", expiry_of(F.col("raw")).cast("long").alias("expires_at_ms"), value_of(F.col("raw")).alias("value"))
+    return rows.where(~is_expired(F.col("expires_at_ms"), F.lit(AS_OF_MS)))
+
+
+@query("key_checksums", None)
+def _key_checksums(spark, d):
+    """CRC-32 of keys and of their reversed bytes, as the filters hash them."""
+    keys = event_log(spark, d).select("key").distinct()
+    return keys.select("key", crc32(F.col("key")).alias("h1"), F.crc32(bloom.reversed_bytes(F.col("key"))).alias("h2"))
