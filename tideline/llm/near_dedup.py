@@ -7,10 +7,12 @@ j + uniform. A document stops as soon as every slot holds a value of a finished
 signature is cut in bands; documents sharing a band are candidates, which are verified on
 their full shingle sets; links are grouped by union-find style star contraction.
 
-Scale: texts equal in their sets collapse to one class before banding. In a bucket, members
-meet leaders, never each other pairwise: members not yet joined to a leader's component are
-compared with it, and leaders leave the bucket. The rounds end when each bucket is in one
-component or out of members, so no link is lost to the leaders' choice.
+Scale: texts equal in their sets collapse to one class before banding. Members of a bucket
+meet leaders, never each other pairwise. First each document meets the one leader it shares
+most buckets with. Then, in buckets that still hold several components, leaders meet members
+of other components and leave the bucket, until no bucket is mixed: no link is lost to the
+choice of leaders. The join that lets them meet drops pairs that cannot reach the threshold
+by a bitmap of each set: an exact bound, so what it emits follows the links, not the pairs.
 
 Defined cases: null, empty or blank text has n_shingles 0 and is linked with nothing;
 repeated doc_ids share class and component; other columns are ignored.
@@ -21,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import GOLDEN, blocks, cut, mix, shingle_hashes, texts_of, word_hashes
@@ -30,9 +32,11 @@ from tideline.llm.components import connected_components
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 32, 4, (75, 100)
 SLOTS = BANDS * ROWS
 EMPTY = np.uint64(2**64 - 1)
-#: Agreement of one-byte sketches under which a pair is not verified: five deviations below 0.75.
-SKETCH_FLOOR = 0.55
 GROUP = 30_000
+#: Words of the bitmap in which a set's shingles are marked.
+BITMAP = 16
+#: Leaders of a bucket in the first round, and how many times more in each further one.
+LEADERS = 32
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, docs: int, slots: int = SLOTS) -> np.ndarray:
@@ -76,7 +80,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sketch, bands): the set's 128-bit digest, one byte per slot, band hashes."""
+    """(doc_id, n_shingles, set_id, bands): the set's size, its 128-bit digest, band hashes."""
 
     def run(batches):
         keys = mix(np.arange(1, ROWS + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
@@ -101,36 +105,27 @@ def signatures(docs: DataFrame) -> DataFrame:
                 values = pa.array(band.ravel().view(np.int64))
                 offsets = pa.array(np.arange(0, band.size + 1, BANDS, dtype=np.int32))
                 digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                sketch = [s.tobytes() for s in (sig & np.uint64(0xFF)).astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n_shingles", "set_id", "sketch", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n_shingles", "set_id", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sketch binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the sorted set as packed 64-bit hashes."""
+    """(doc_id, shingles, bits): the sorted set as packed 64-bit hashes, and its bitmap."""
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), texts_of(batch.column(1))
             for a, b in blocks(texts, 1 << 20):
-                packed = [s.tobytes() for s in shingle_sets(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(packed, pa.binary())], ["doc_id", "shingles"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles binary")
-
-
-def _resembling(pairs: DataFrame) -> DataFrame:
-    """Drops pairs (a, b, sketch_a, sketch_b) whose sketches agree too rarely."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS) for k in (2, 3))
-                keep = pa.array((x == y).mean(axis=1) >= SKETCH_FLOOR)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+                sets = shingle_sets(texts[a:b])
+                marks = np.zeros((len(sets), 64 * BITMAP), np.uint8)
+                for k, s in enumerate(sets):
+                    marks[k, (s % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+                bits = np.packbits(marks, axis=1).view(np.int64)
+                offsets = pa.array(np.arange(0, bits.size + 1, BITMAP, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bits.ravel()))], ["doc_id", "shingles", "bits"])
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles binary, bits array<long>")
 
 
 def _confirmed(pairs: DataFrame) -> DataFrame:
@@ -151,51 +146,93 @@ def _confirmed(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that reach the threshold on their full sets."""
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+    return cut(_confirmed(pairs.join(left, "a").join(right, "b")))
+
+
+def _words(bits: str, to: str = "w") -> list[Column]:
+    """The bitmap's words as columns, and how many bits are set."""
+    words = [F.coalesce(F.get(F.col(bits), F.lit(k)), F.lit(0).cast("long")) for k in range(BITMAP)]
+    return [*(x.alias(f"{to}{k}") for k, x in enumerate(words)), sum((F.bit_count(x) for x in words), F.lit(0)).alias(f"{to}_set")]
+
+
+def _may_reach(n: str, own: str, m: str, other: str) -> Column:
+    """Whether sets of n and m elements may reach the threshold, by their bitmaps.
+
+    Each bit of one set that the other lacks stands for an element that is not shared.
+    """
+    both = sum((F.bit_count(F.col(f"{own}{k}").bitwiseAND(F.col(f"{other}{k}"))) for k in range(BITMAP)), F.lit(0))
+    shared = both + F.least(F.col(n) - F.col(f"{own}_set"), F.col(m) - F.col(f"{other}_set"))
+    return shared * sum(THRESHOLD) >= (F.col(n) + F.col(m)) * THRESHOLD[0]
+
+
+def _joined_components(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links; only the components that links tie are contracted."""
+    if comp is None:
+        return cut(connected_components(links))
+    name = lambda end: links.select("a", "b").join(comp.select(F.col("node").alias(end), F.col("component").alias("c")), end, "left").select("a", "b", F.coalesce("c", end).alias(f"c{end}"))
+    ties = name("a").join(comp.select(F.col("node").alias("b"), F.col("component").alias("c")), "b", "left").select(F.col("ca").alias("a"), F.coalesce("c", "b").alias("b"))
+    moved = cut(connected_components(ties))
+    old = comp.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return cut(old.unionByName(moved.join(comp.select("node"), "node", "left_anti")))
+
+
+def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members with their component as it is now."""
+    named = members.drop("comp").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    return named.withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several components, with their number."""
+    buckets = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
+    return members.drop("size").join(buckets, "bucket")
+
+
 def group_near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs."""
-    spark = docs.sparkSession
     marks = cut(signatures(docs))
     classes = marks.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    reps = cut(marks.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "bands"))
-    entries = reps.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("bucket"))
-    crowded = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = cut(entries.join(crowded, "bucket", "left_semi"))
-    involved = members.select("rep").distinct()
-    size = F.octet_length("shingles") / 8
-    sets = cut(sets_of(docs.join(involved.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).withColumn("n", size))
-    small = reps.join(involved, "rep", "left_semi").select("rep", "n_shingles", "sketch")
-    links = comp = None
-    leaders = 1
-    while True:
-        # leaders: in each bucket the members first in a hashed order, the smallest id in the first round
-        order = F.struct("rep") if leaders == 1 else F.struct(F.xxhash64("rep", F.lit(leaders)), "rep")
-        if leaders == 1:
-            chosen = members.groupBy("bucket").agg(F.min("rep").alias("leader"))
-        else:
-            chosen = members.groupBy("bucket").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("rep", F.lit(leaders)), F.greatest(F.lit(1), F.ceil(F.col("n_in") / (2 * leaders)))) == 0, order))), 1, leaders).alias("l"), F.min(order).alias("least"))
-            chosen = chosen.select("bucket", F.explode(F.array_union(F.col("l"), F.array("least"))).alias("l")).select("bucket", F.col("l.rep").alias("leader"))
-        chosen = cut(chosen)
-        pairs = members.join(chosen, "bucket")
-        if comp is not None:
-            pairs = pairs.join(comp.select(F.col("node").alias("leader"), F.col("component").alias("leader_comp")), "leader", "left").where("comp <> coalesce(leader_comp, leader)")
-        pairs = pairs.where("rep <> leader").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
-        x, y = small.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sketch_a")), small.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sketch_b"))
-        close = F.least("na", "nb") * THRESHOLD[1] >= F.greatest("na", "nb") * THRESHOLD[0]
-        alike = cut(_resembling(pairs.join(x, "a").join(y, "b").where(close)))
-        with_sets = alike.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        found = _confirmed(with_sets)
-        links = cut(found if comp is None else found.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")))
-        comp = cut(connected_components(links))
-        # what is left: buckets with members of several components, less the leaders that have met all
-        rest = members.select("bucket", "rep").join(chosen.withColumnRenamed("leader", "rep"), ["bucket", "rep"], "left_anti")
-        rest = rest.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n_in")).where("lo <> hi").select("bucket", "n_in")
-        members = cut(rest.join(mixed, "bucket"))
-        if members.isEmpty():
-            break
-        leaders *= 2
+    reps = marks.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands")
+    entries = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "h")).select("rep", "n_shingles", F.xxhash64("band", "h").alias("bucket"))
+    leaders = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1").select("bucket", "leader")
+    members = cut(entries.join(leaders, "bucket"))
+    involved = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = cut(sets_of(docs.join(involved, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    # first, each document meets the leader that it shares most buckets with
+    best = members.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("b")).withColumnRenamed("rep", "a")
+    comp = _joined_components(None, _links(best, sets))
+    members = cut(_mixed(_labelled(members.drop("leader"), comp)).join(sets.select(F.col("doc_id").alias("rep"), *_words("bits")), "rep"))
+    per_bucket = LEADERS
+    while not members.isEmpty():
+        # the next leaders meet the rest of their bucket and leave it
+        order = F.xxhash64("rep", F.lit(per_bucket))
+        drawn = members.withColumns({"more": (F.pmod(order, F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / per_bucket))) == 0)})
+        least = members.groupBy("bucket").agg(F.min_by("rep", F.struct(order, "rep")).alias("rep")).withColumn("least", F.lit(True))
+        chosen = cut(drawn.join(least, ["bucket", "rep"], "left").where("more OR least").select("bucket", F.col("rep").alias("leader"), F.col("comp").alias("lcomp"), F.col("n_shingles").alias("ln"), *(F.col(f"w{k}").alias(f"l{k}") for k in (*range(BITMAP), "_set"))))
+        possible = (F.col("comp") != F.col("lcomp")) & _may_reach("n_shingles", "w", "ln", "l")
+        met = members.join(chosen, (members["bucket"] == chosen["bucket"]) & possible).select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
+        found = _links(met, sets)
+        rest = members.join(chosen.select("bucket", F.col("leader").alias("rep")), ["bucket", "rep"], "left_anti")
+        if not found.isEmpty():
+            comp = _joined_components(comp, found)
+            rest = _labelled(rest, comp)
+        members = cut(_mixed(rest))
+        per_bucket *= LEADERS
     labelled = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     full = marks.select("doc_id", "n_shingles", "set_id").join(labelled, "set_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = full.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    return cut(out)
+    return cut(full.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id")))
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """One document of each group: the one with the smallest doc_id; columns as in docs.
+
+    Rows that repeat a doc_id are one document, of which one row stays.
+    """
+    kept = group_near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_id")
+    rows = docs.join(kept, docs["doc_id"].cast("long") == F.col("_id"))
+    single, repeated = rows.where("_n = 1"), rows.where("_n > 1").dropDuplicates(["_id"])
+    return single.unionByName(repeated).select(*docs.columns)
