@@ -1,0 +1,143 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tideline.llm import near_dedup, substring_dedup
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+
+
+def shingles(text):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_groups(rows):
+    ids = sorted({i for i, _ in rows})
+    sets = {i: shingles(t) for i, t in rows}
+    label = {i: i for i in ids}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 75 * len(sets[a] | sets[b]):
+                    x, y = find(a), find(b)
+                    label[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_rows(seed, bases=4, copies=25, edits=5, words=60):
+    """Copies of a few texts with some words changed: chains of links around the threshold."""
+    r = random.Random(seed)
+    vocabulary = ["w%d" % k for k in range(400)]
+    rows = []
+    for b in range(bases):
+        base = [r.choice(vocabulary) for _ in range(words)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(r.randrange(edits)):
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            rows.append((len(rows) * 3 + b, " ".join(w).upper() if r.random() < 0.2 else "\n".join(w)))
+    return rows
+
+
+def got_groups(df):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_groups_match_brute_force(docs, seed, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEADERS", 2)  # several rounds even in small buckets
+    rows = near_rows(seed)
+    df = near_dedup.group_near_duplicates(docs(rows))
+    assert got_groups(df) == brute_groups(rows)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in df.collect())
+
+
+def test_near_edges(docs, edges, empty):
+    got = got_groups(near_dedup.group_near_duplicates(edges))
+    assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == (0, 3) and got[4] == (1, 4) and got[5][1] == got[6][1] == 5
+    assert near_dedup.group_near_duplicates(edges).count() == edges.count()
+    assert near_dedup.group_near_duplicates(empty).count() == 0
+    kept = near_dedup.clean(edges)
+    assert kept.columns == edges.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 5, 7, 8]
+    twice = near_dedup.clean(docs([(9, "x y"), (9, "x y"), (10, "x y")]))
+    assert [r["doc_id"] for r in twice.collect()] == [9]
+
+
+def test_signatures_estimate_similarity():
+    r = np.random.default_rng(3)
+    x = r.integers(0, 2**63, 400, dtype=np.uint64)
+    y = np.concatenate([x[:300], r.integers(0, 2**63, 100, dtype=np.uint64)])
+    sig = near_dedup.superminhash(np.concatenate([x, y, x[:3]]), np.repeat([0, 1, 2], [400, 400, 3]), 3)
+    assert abs((sig[0] == sig[1]).mean() - 0.6) < 0.15
+    assert (sig != near_dedup.EMPTY).all()
+    assert (near_dedup.superminhash(x[::-1].copy(), np.zeros(400, np.int64), 1)[0] == sig[0]).all()
+
+
+def brute_spans(rows):
+    first, out = {}, []
+    for i, text in sorted(rows, key=lambda x: x[0]):
+        b = (text or "").encode()
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    for i, text in rows:
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def span_rows(seed):
+    r = random.Random(seed)
+    alphabet = "ab é" if seed % 2 else "abcdefghij \n"
+    text = lambda n: "".join(r.choice(alphabet) for _ in range(n))
+    shared = [text(r.randrange(20, 160)) for _ in range(6)]
+    rows = []
+    for i in range(40):
+        parts = [r.choice(shared)[r.randrange(5) :] if r.random() < 0.5 else text(r.randrange(0, 90)) for _ in range(r.randrange(1, 6))]
+        rows.append((r.randrange(10**9), "".join(parts)))
+    rows += [(7, "a" * 400), (8, "a" * 300 + "b" * 120), (9, "ab" * 200), (10**10, "ab" * 90), (11, "x" * 49), (12, "x" * 50), (13, "x" * 50)]
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_spans_match_brute_force(docs, seed, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 1500)
+    rows = span_rows(seed)
+    got = sorted(tuple(r)[:5] for r in substring_dedup.dedup(docs(rows)).collect())
+    assert got == brute_spans(rows)
+
+
+def test_span_edges(docs, edges, empty):
+    rows = sorted(tuple(r) for r in substring_dedup.dedup(edges).collect())
+    by = {r[0]: r for r in rows}
+    assert len(rows) == edges.count() and by[1][1:4] == (0, 0, 0) and by[2][4] == hashlib.sha256(b"").hexdigest()
+    assert by[8][2] == 0 and by[7][2] == 0  # repeats inside one document stay
+    assert substring_dedup.dedup(empty).count() == 0
+    twice = substring_dedup.dedup(docs([(1, "z" * 80), (1, "z" * 80), (2, "z" * 80)]))
+    assert sorted((r["doc_id"], r["n_removed"]) for r in twice.collect()) == [(1, 0), (1, 0), (2, 80)]
+
+
+def test_parse_in_pieces(monkeypatch):
+    r = random.Random(5)
+    data = [bytes(r.choice(b"abc ") for _ in range(n)) for n in (3000, 10, 0, 700, 60, 5000)] + [b"q" * 900]
+    whole = substring_dedup.Parse(data)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 257)
+    pieces = substring_dedup.Parse(data)
+    for name in ("trigger", "first", "count", "hash", "doc"):
+        assert (getattr(whole, name) == getattr(pieces, name)).all()
