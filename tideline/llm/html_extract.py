@@ -33,6 +33,7 @@ from tideline.llm.html_pages import labelled_pages
 
 N_TRAIN, EPOCHS, RATE, SHRINK, SEED = 1200, 10, 0.3, 1e-5, 7
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+UNFINISHED = re.compile(r"</?[a-zA-Z]|<[!?]")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-y|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "video", "audio", "canvas", "xmp", "noembed", "noframes", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -59,6 +60,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
     pieces: list[tuple[int, str]] = []
     stack = [("#root", 0)]  # open elements: tag, and the block that holds their text
     at, links, end = 0, 0, len(page)
+    endless: set[str] = set()  # raw elements without an end from here on
+    last = page.rfind(">") + 1  # no tag is complete beyond it
 
     def put(text: str) -> None:
         if text:
@@ -68,12 +71,14 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
             if links:
                 out[k].links += len(text) - text.count(" ")
 
-    for m in iter(lambda: TOKEN.search(page, at), None):
+    for m in iter(lambda: TOKEN.search(page, at, last), None):
         if m.start() > at:
             put(page[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = end
             continue
         closing, tag, attrs = m[1] or m[4], tag.lower(), m[3] if m[2] else m[6]
         if closing:
@@ -91,8 +96,10 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
                 pieces.append((stack[-1][1], " "))
             continue
         if tag in RAW:
-            if not attrs.rstrip().endswith("/"):
+            if not attrs.rstrip().endswith("/") and tag not in endless:
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if stop is None:
+                    endless.add(tag)
                 at = stop.end() if stop else (end if tag in ("script", "style") else at)
             continue
         if tag in VOID:
@@ -134,7 +141,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
         out.append(Block(tag, stack[-1][1], tuple(names), label))
         stack.append((tag, len(out) - 1))
     if at < end:
-        put(page[at:])
+        cut_off = UNFINISHED.search(page, max(at, last))
+        put(page[at : cut_off.start() if cut_off else end])
     return out, pieces
 
 
