@@ -34,7 +34,7 @@ SLOTS = BANDS * ROWS
 EMPTY = np.uint64(2**64 - 1)
 GROUP = 30_000
 #: Words of the bitmap in which a set's shingles are marked.
-BITMAP = 16
+BITMAP = 32
 #: Leaders of a bucket in the first round, and how many times more in each further one.
 LEADERS = 32
 
