@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +13,9 @@ from pyspark.sql import functions as F
 from tideline.functions import bloom
 from tideline.functions.records import crc32, encode_entry, expiry_of, is_expired, record_size, value_of
 from tideline.operators import compaction, resolve
+from tideline.options import Options
+from tideline.sources import blockfile, log_source, wal
+from tideline.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -275,3 +281,81 @@ def _key_checksums(spark, d):
     """CRC-32 of keys and of their reversed bytes, as the filters hash them."""
     keys = event_log(spark, d).select("key").distinct()
     return keys.select("key", crc32(F.col("key")).alias("h1"), F.crc32(bloom.reversed_bytes(F.col("key"))).alias("h2"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder for a store of a query: shared where the cluster names one, else temporary."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        return tempfile.mkdtemp(prefix="tideline-")
+    folder = os.path.join(base.removeprefix("file://"), f"store-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    return folder
+
+
+def loaded_store(spark: SparkSession, sf_dir: str, parts: int = 5) -> Store:
+    """A store that received the changelog in consecutive bulk commits, compacted on the way."""
+    log = event_log(spark, sf_dir)
+    top = log.agg(F.max("seq")).first()[0] + 1
+    store = Store.open(spark, scratch(spark), Options(l0_compaction_threshold=2, target_level_size=4096, target_file_size=2048))
+    for k in range(parts):
+        part = log.where((F.col("seq") >= top * k // parts) & (F.col("seq") < top * (k + 1) // parts))
+        store.write(resolve.latest(part).select("key", "op", "value"))
+    return store
+
+
+@query("store_scan", "SELECT key, value FROM live")
+def _store_scan(spark, d):
+    """Through flushes and leveled compaction in files."""
+    return loaded_store(spark, d).scan()
+
+
+@query("store_range", "SELECT key, value FROM live WHERE key > 'user:000002' AND key <= 'user:000015'")
+def _store_range(spark, d):
+    return loaded_store(spark, d).range("user:000002", "user:000015", start_inclusive=False, end_inclusive=True)
+
+
+@query("store_compact_full", "SELECT key, value FROM live")
+def _store_compact_full(spark, d):
+    store = loaded_store(spark, d)
+    store.compact_full()
+    if store.stats().sst_count > 1:
+        raise AssertionError("a full compaction leaves one file")
+    return store.scan()
+
+
+@query("store_levels", "SELECT count(*) AS n_keys, true AS disjoint FROM live")
+def _store_levels(spark, d):
+    """Files of each level from 1 on have disjoint key ranges."""
+    store = loaded_store(spark, d)
+    files = [f for f in store.files() if f.level]
+    meta = spark.createDataFrame([(f.level * 1_000_000 + f.id, f.level, f.smallest, f.largest) for f in files], "run long, level int, lo string, hi string")
+    same = compaction.overlapping_runs(meta).join(meta.select(F.col("run").alias("a"), "level"), "a").join(meta.select(F.col("run").alias("b"), F.col("level").alias("l2")), "b").where("level = l2")
+    n = same.agg((F.count("*") == 0).alias("disjoint"))
+    return store.keys().agg(F.count("*").alias("n_keys")).withColumn("disjoint", F.lit(n.first()[0]))
+
+
+@query("wal_recover", "SELECT key, value FROM live WHERE key < 'user:000020'")
+def _wal_recover(spark, d):
+    """Changes of the first keys as log records, read back through the data source with a torn tail."""
+    rows = event_log(spark, d).where(F.col("key") < "user:000020").orderBy("seq").select("key", "op", "value").collect()
+    folder = scratch(spark)
+    with open(os.path.join(folder, "part.log"), "wb") as f:
+        for r in rows:
+            f.write(wal.Record(r["op"], r["key"], r["value"]).encode())
+        f.write(b"\x40\0\0\0torn")
+    log_source.register(spark)
+    return resolve.scan(spark.read.format("tideline_wal").load(folder))
+
+
+@query("block_files", "SELECT key, value FROM live WHERE key < 'user:000020'")
+def _block_files(spark, d):
+    """Two generations of block files, the older one a level below, merged by recency."""
+    folder = scratch(spark)
+    log = event_log(spark, d).where(F.col("key") < "user:000020")
+    middle = log.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    for name, part in (("sstable_L1_000001.sst", log.where(F.col("seq") <= middle)), ("sstable_L0_000002.sst", log.where(F.col("seq") > middle))):
+        rows = resolve.latest(part).select("key", "value").collect()
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(blockfile.encode([(r["key"], r["value"]) for r in rows]))
+    return resolve.scan(blockfile.as_log(blockfile.read_block_files(spark, folder)))
