@@ -14,7 +14,7 @@ def docs(spark):
 
 
 #: Nulls, blanks, ties, repeats and a long text, for every operator.
-EDGES = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "same text here " * 3, "en", "s"), (6, "same text here " * 3, "en", "s"), (6, "same text here " * 3, "en", "s"), (7, "ß日本 " * 20000, None, "s"), (8, "a" * 60000, "de", None)]
+EDGES = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "same text here " * 3, "en", "s"), (6, "same text here " * 3, "en", "s"), (6, "same text here " * 3, "en", "s"), (7, "ß日本 " * 20000, None, "s"), (8, "a" * 60000, "de", None), (None, "no id " * 60, "en", "s")]
 
 
 @pytest.fixture(scope="session")

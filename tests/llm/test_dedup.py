@@ -66,11 +66,11 @@ def test_near_groups_match_brute_force(docs, seed, monkeypatch):
 
 def test_near_edges(docs, edges, empty):
     got = got_groups(near_dedup.group_near_duplicates(edges))
-    assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == (0, 3) and got[4] == (1, 4) and got[5][1] == got[6][1] == 5
+    assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == (0, 3) and got[4] == (1, 4) and got[5][1] == got[6][1] == 5 and got[None][1] is None
     assert near_dedup.group_near_duplicates(edges).count() == edges.count()
     assert near_dedup.group_near_duplicates(empty).count() == 0
     kept = near_dedup.clean(edges)
-    assert kept.columns == edges.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 5, 7, 8]
+    assert kept.columns == edges.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
     twice = near_dedup.clean(docs([(9, "x y"), (9, "x y"), (10, "x y")]))
     assert [r["doc_id"] for r in twice.collect()] == [9]
 
@@ -117,14 +117,15 @@ def span_rows(seed):
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_spans_match_brute_force(docs, seed, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 1500)
+    for name, size in (("GROUP_BYTES", 1500), ("TASK_BYTES", 4000), ("BUCKET_BYTES", 2500)):
+        monkeypatch.setattr(substring_dedup, name, size)
     rows = span_rows(seed)
     got = sorted(tuple(r)[:5] for r in substring_dedup.dedup(docs(rows)).collect())
     assert got == brute_spans(rows)
 
 
 def test_span_edges(docs, edges, empty):
-    rows = sorted(tuple(r) for r in substring_dedup.dedup(edges).collect())
+    rows = [tuple(r) for r in substring_dedup.dedup(edges).collect()]
     by = {r[0]: r for r in rows}
     assert len(rows) == edges.count() and by[1][1:4] == (0, 0, 0) and by[2][4] == hashlib.sha256(b"").hexdigest()
     assert by[8][2] == 0 and by[7][2] == 0  # repeats inside one document stay

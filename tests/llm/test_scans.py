@@ -42,7 +42,7 @@ def test_novel_spans(docs):
 def test_secret_edges(edges, empty):
     rows = secrets.scan(edges).collect()
     assert len(rows) == edges.count()
-    assert {r["spans"] for r in rows if r["doc_id"] < 8} == {""}
+    assert {r["spans"] for r in rows if r["doc_id"] != 8} == {""}
     assert next(r for r in rows if r["doc_id"] == 8)["n_hex"] == 1  # sixty thousand times `a`
     assert secrets.scan(empty).count() == 0
 

@@ -167,6 +167,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null doc_id inside an operator: such rows are one document, after all others.
+NO_ID = 2**63 - 1
+
+
+def known_id(name: str = "doc_id"):
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
+
+
+def own_id(column):
+    """The doc_id again, null where there was none."""
+    return F.nullif(column, F.lit(NO_ID))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -14,7 +14,7 @@ hits are, which are few.
 
 Defined cases: null or empty text has no hit; equal items count as one, named by the smallest
 item_id; an item shorter than the shortest mask must occur as a whole; rows with equal
-doc_id share their hits; other columns are ignored.
+doc_id, or without one, share their hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import GOLDEN, blocks, mix, runs, texts_of, word_hashes
+from tideline.llm.common import GOLDEN, blocks, known_id, mix, own_id, runs, texts_of, word_hashes
 
 MASKS = ("1110110111", "1101110011", "1011001111011")
 MIN_MATCHED, MAX_MISSES, MIN_IDENTITY = 10, 1, 0.75
@@ -156,7 +156,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "first", "last", "matched"])
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+        part = docs.select(known_id().alias("doc_id"), "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -164,11 +164,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: contaminated, n_items, most matched tokens, and the matched item ids."""
     by_doc = leaks(docs, benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("matched").alias("matched"))
-    out = docs.select(F.col("doc_id").cast("long")).join(by_doc, "doc_id", "left")
-    return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("matched", F.lit(0)).cast("long").alias("n_matched"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+    out = docs.select(known_id().alias("doc_id")).join(by_doc, "doc_id", "left")
+    return out.select(own_id(F.col("doc_id")).alias("doc_id"), F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("matched", F.lit(0)).cast("long").alias("n_matched"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without an accepted overlap, columns as given."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("__tl_id")).distinct()
+    return docs.withColumn("__tl_id", known_id()).join(bad, "__tl_id", "left_anti").select(*docs.columns)

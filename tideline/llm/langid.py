@@ -14,7 +14,8 @@ Scale: two passes over the texts, no shuffle of texts. What reaches the driver i
 the two parameters and by 2^BITS counts.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; without training
-rows every text is `und`; rows with equal doc_id are judged one by one; other columns are
+rows every text is `und`; a row without doc_id is not held out, and never learned from; rows
+with equal doc_id are judged one by one; other columns are
 ignored.
 """
 
@@ -193,4 +194,4 @@ def identify(docs: DataFrame) -> DataFrame:
             out = [model.predict(text) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.expr(HELD_OUT).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

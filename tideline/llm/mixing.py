@@ -15,7 +15,8 @@ pairs. A round is one partially aggregated pass over those rows; only the factor
 languages and topics, whose number is checked, travel as literals.
 
 Defined cases: null source or language is the class ''; null or empty text has no tokens,
-is `empty`, probability 0; rows of equal doc_id share their draw; an empty table
+is `empty`, probability 0; rows of equal doc_id share their draw, and if one is sampled all
+are; a row without doc_id is never sampled; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -29,7 +30,7 @@ from tideline.llm.exprs import WORD
 
 ROUNDS, CAP_ROUNDS, BUDGET = 12, 8, 0.5
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
-MAX_SMALL_CLASSES = 100_000
+MAX_SMALL_CLASSES = 4_096
 SEED = "mixing"
 
 
@@ -77,15 +78,19 @@ def cell_rates(rows: DataFrame) -> DataFrame | None:
     table = cut(by_source.withColumn("goal", goal))
     b, c = [1.0] * len(langs), [1.0] * len(topics)
 
+    def plus(terms: list):
+        """A balanced sum, so that the expression stays shallow."""
+        return terms[0] if len(terms) == 1 else plus(terms[: len(terms) // 2]) + plus(terms[len(terms) // 2 :])
+
     def factor():
-        dot = sum((F.col(f"c{place[x, y]}") * F.lit(b[i] * c[j]) for i, x in enumerate(langs) for j, y in enumerate(topics)), F.lit(0.0))
+        dot = plus([F.col(f"c{place[x, y]}") * F.lit(b[i] * c[j]) for i, x in enumerate(langs) for j, y in enumerate(topics)])
         return F.col("goal") / dot
 
     for _ in range(ROUNDS):
         weighed = table.withColumn("a", factor()).agg(*[F.sum(F.col("a") * F.col(f"c{k}")).alias(f"g{k}") for k in range(width)])
         g = lambda i, j: F.col(f"g{i * len(topics) + j}")
-        new_b = weighed.select("*", *[(F.lit(lang[x]) / sum((g(i, j) * F.lit(c[j]) for j in range(len(topics))), F.lit(0.0))).alias(f"b{i}") for i, x in enumerate(langs)])
-        new = new_b.select(*[f"b{i}" for i in range(len(langs))], *[(F.lit(topic[y]) / sum((g(i, j) * F.col(f"b{i}") for i in range(len(langs))), F.lit(0.0))).alias(f"t{j}") for j, y in enumerate(topics)]).first()
+        new_b = weighed.select("*", *[(F.lit(lang[x]) / plus([g(i, j) * F.lit(c[j]) for j in range(len(topics))])).alias(f"b{i}") for i, x in enumerate(langs)])
+        new = new_b.select(*[f"b{i}" for i in range(len(langs))], *[(F.lit(topic[y]) / plus([g(i, j) * F.col(f"b{i}") for i in range(len(langs))])).alias(f"t{j}") for j, y in enumerate(topics)]).first()
         b, c = list(new[: len(langs)]), list(new[len(langs) :])
     factors = table.select("source", factor().alias("a"))
     rate = F.col("a") * F.get(numbers(b), index("lang", langs).cast("int")) * F.get(numbers(c), index("topic", topics).cast("int"))
@@ -109,14 +114,13 @@ def probabilities(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
         rows = rows.join(rates.select("source", "lang", "topic", "rate"), ["source", "lang", "topic"], "left")
         prob = F.coalesce(F.round(F.least(F.lit(1.0), F.lit(kappa) * F.col("rate")), 6), F.lit(0.0))
     out = rows.select("doc_id", "source", "lang", "topic", "tokens", prob.alias("prob"))
-    return out.withColumn("sampled", stable_unit(F.col("doc_id"), SEED) < F.col("prob"))
+    return out.withColumn("sampled", F.coalesce(stable_unit(F.col("doc_id"), SEED) < F.col("prob"), F.lit(False)))
 
 
 def mix(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
     """The sampled documents, their columns, and prob."""
-    chosen = probabilities(docs, budget).where("sampled").select(F.col("doc_id").alias("_id"), F.col("prob")).dropDuplicates(["_id"])
-    kept = docs.drop("prob") if "prob" in docs.columns else docs
-    return kept.join(chosen, kept["doc_id"].cast("long") == F.col("_id")).drop("_id")
+    chosen = probabilities(docs, budget).where("sampled").groupBy(F.col("doc_id").alias("__tl_id")).agg(F.max("prob").alias("prob"))
+    return docs.drop("prob").withColumn("__tl_id", F.col("doc_id").cast("long")).join(chosen, "__tl_id").drop("__tl_id")
 
 
 def oracle(docs_sql: str = "documents", budget: float = BUDGET, result: str | None = None) -> str:

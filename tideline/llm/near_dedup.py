@@ -15,7 +15,8 @@ choice of leaders. The join that lets them meet drops pairs that cannot reach th
 by a bitmap of each set: an exact bound, so what it emits follows the links, not the pairs.
 
 Defined cases: null, empty or blank text has n_shingles 0 and is linked with nothing;
-repeated doc_ids share class and component; other columns are ignored.
+repeated doc_ids share class and component; null doc_ids count as one document after all
+others, returned as null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import GOLDEN, blocks, cut, mix, shingle_hashes, texts_of, word_hashes
+from tideline.llm.common import GOLDEN, blocks, cut, known_id, mix, own_id, shingle_hashes, texts_of, word_hashes
 from tideline.llm.components import connected_components
 
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 32, 4, (75, 100)
@@ -107,7 +108,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n_shingles", "set_id", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return docs.select(known_id().alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 offsets = pa.array(np.arange(0, bits.size + 1, BITMAP, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bits.ravel()))], ["doc_id", "shingles", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles binary, bits array<long>")
+    return docs.select(known_id().alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles binary, bits array<long>")
 
 
 def _confirmed(pairs: DataFrame) -> DataFrame:
@@ -200,7 +201,7 @@ def group_near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1").select("bucket", "leader")
     members = cut(entries.join(leaders, "bucket"))
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(sets_of(docs.join(involved, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    sets = cut(sets_of(docs.select(known_id().alias("doc_id"), "text").join(involved, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
     # first, each document meets the leader that it shares most buckets with
     best = members.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("b")).withColumnRenamed("rep", "a")
     comp = _joined_components(None, _links(best, sets))
@@ -224,7 +225,8 @@ def group_near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     full = marks.select("doc_id", "n_shingles", "set_id").join(labelled, "set_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return cut(full.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id")))
+    out = full.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return cut(out.select(own_id(F.col("doc_id")).alias("doc_id"), "n_shingles", own_id(F.col("component_id")).alias("component_id"), "kept"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -232,7 +234,7 @@ def clean(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id are one document, of which one row stays.
     """
-    kept = group_near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(kept, docs["doc_id"].cast("long") == F.col("_id"))
-    single, repeated = rows.where("_n = 1"), rows.where("_n > 1").dropDuplicates(["_id"])
+    kept = group_near_duplicates(docs).where("kept").groupBy(known_id().alias("__tl_id")).agg(F.count("*").alias("__tl_n"))
+    rows = docs.withColumn("__tl_id", known_id()).join(kept, "__tl_id")
+    single, repeated = rows.where("__tl_n = 1"), rows.where("__tl_n > 1").dropDuplicates(["__tl_id"])
     return single.unionByName(repeated).select(*docs.columns)

@@ -189,29 +189,29 @@ def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with text replaced, and `_kinds`, the kinds of the entities in order."""
+    """docs with text replaced, and `__tl_kinds`, the kinds of the entities in order."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("_found", F.when(text.rlike(LIKELY), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    held = cut(marked.withColumn("_row", F.monotonically_increasing_id()))
-    plain = held.where(F.size("_found") == 0).drop("_row", "_found").withColumn("_kinds", F.array().cast("array<string>"))
-    full = held.where(F.size("_found") > 0)
-    each = full.select("_row", F.posexplode("_found").alias("pos", "e")).withColumn("kind", kind_of(F.col("e")))
+    marked = docs.withColumn("__tl_found", F.when(text.rlike(LIKELY), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    held = cut(marked.withColumn("__tl_row", F.monotonically_increasing_id()))
+    plain = held.where(F.size("__tl_found") == 0).drop("__tl_row", "__tl_found").withColumn("__tl_kinds", F.array().cast("array<string>"))
+    full = held.where(F.size("__tl_found") > 0)
+    each = full.select("__tl_row", F.posexplode("__tl_found").alias("pos", "e")).withColumn("kind", kind_of(F.col("e")))
     each = cut(each.withColumn("canon", F.when(F.col("kind").isNotNull(), canonical(F.col("kind"), F.col("e")))))
     known = each.where("kind IS NOT NULL")
-    named = known.join(mapping(known, key), ["kind", "canon"]).select("_row", "pos", "kind", rendered(F.col("kind"), F.col("e"), F.col("s")).alias("s"))
-    lists = named.unionByName(each.where("kind IS NULL").select("_row", "pos", "kind", F.col("e").alias("s"))).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "s"))).alias("_new"))
+    named = known.join(mapping(known, key), ["kind", "canon"]).select("__tl_row", "pos", "kind", rendered(F.col("kind"), F.col("e"), F.col("s")).alias("s"))
+    lists = named.unionByName(each.where("kind IS NULL").select("__tl_row", "pos", "kind", F.col("e").alias("s"))).groupBy("__tl_row").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "s"))).alias("__tl_new"))
     parts = F.split("text", PATTERN, -1)
-    rebuilt = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_new"), i)["s"], F.lit("")))), "")
-    kinds = F.filter(F.transform("_new", lambda x: x["kind"]), lambda k: k.isNotNull())
-    changed = full.join(lists, "_row").withColumn("text", rebuilt).withColumn("_kinds", kinds)
+    rebuilt = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__tl_new"), i)["s"], F.lit("")))), "")
+    kinds = F.filter(F.transform("__tl_new", lambda x: x["kind"]), lambda k: k.isNotNull())
+    changed = full.join(lists, "__tl_row").withColumn("text", rebuilt).withColumn("__tl_kinds", kinds)
     return plain.unionByName(changed.select(*plain.columns))
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(doc_id, text, n_entities, n_<kind> of each kind) per row of docs."""
     out = replace(docs.select(F.col("doc_id").cast("long"), "text"), key)
-    count = lambda k: F.size(F.filter("_kinds", lambda x: x == k)).cast("long").alias(f"n_{k}")
-    return out.select("doc_id", "text", F.size("_kinds").cast("long").alias("n_entities"), *map(count, KINDS))
+    count = lambda k: F.size(F.filter("__tl_kinds", lambda x: x == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", "text", F.size("__tl_kinds").cast("long").alias("n_entities"), *map(count, KINDS))
 
 
 def clean(docs: DataFrame, key: str = KEY) -> DataFrame:

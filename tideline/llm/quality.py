@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut
+from tideline.llm.common import cut, known_id
 from tideline.llm.exprs import SPACE, WORD, let, repeated_words, words
 
 MIN_DOCS, MAX_SHARE, MIN_LEFT = 20, 0.05, 0.2
@@ -65,22 +65,24 @@ def judge(docs: DataFrame) -> DataFrame:
     measured = cut(measure(docs))
     hits = measured.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.n").join(frequent_lines(measured), ["host", "h"])
     lost = hits.groupBy("row").agg(F.sum("n").alias("lost"), F.collect_set("h").alias("removed"))
-    out = measured.drop("lines", "digest").join(lost, "row", "left")
+    out = measured.drop("lines").join(lost, "row", "left")
     out = out.withColumn("n_removed_words", F.coalesce("lost", F.lit(0)).cast("long"))
     enough = F.col("n_words") - F.col("n_removed_words") >= F.lit(MIN_LEFT) * F.col("n_words")
-    return out.withColumn("kept", ~F.col("base_failed") & enough).drop("row", "lost", "host")
+    return out.withColumn("kept", ~F.col("base_failed") & enough).drop("row", "lost")
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    return judge(docs).drop("removed")
+    return judge(docs).drop("removed", "digest", "host")
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """Documents that pass, without their lines above the limits; columns as in docs."""
-    verdict = judge(docs).where("kept").select(F.col("doc_id").alias("_id"), "removed").dropDuplicates(["_id"])
-    lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("removed", line_hash(x)))
-    text = F.when(F.size("removed") > 0, F.array_join(lines, "\n")).otherwise(F.col("text"))
-    joined = docs.join(verdict, docs["doc_id"].cast("long") == F.col("_id")).withColumn("text", text)
+    keys = ["__tl_id", "__tl_digest", "__tl_host"]
+    verdict = judge(docs).where("kept").select(known_id().alias(keys[0]), F.col("digest").alias(keys[1]), F.col("host").alias(keys[2]), F.col("removed").alias("__tl_removed")).dropDuplicates(keys)
+    lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__tl_removed", line_hash(x)))
+    text = F.when(F.size("__tl_removed") > 0, F.array_join(lines, "\n")).otherwise(F.col("text"))
+    keyed = docs.withColumns({keys[0]: known_id(), keys[1]: F.xxhash64(F.coalesce("text", F.lit(""))), keys[2]: F.coalesce("source", F.lit(""))})
+    joined = keyed.join(verdict, keys).withColumn("text", text)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*docs.columns)
