@@ -113,7 +113,8 @@ def seek_many(log: DataFrame, targets: DataFrame) -> DataFrame:
     here = F.min(F.when(F.col("is_key") == 1, F.col("at"))).over(local.rowsBetween(0, Window.unboundedFollowing))
     first = F.min(F.when(F.col("is_key") == 1, F.col("at"))).over(Window.partitionBy("part"))
     rows = merged.withColumn("next_here", here).withColumn("first_key", first)
-    # one pass yields the answers and, per part, its first key: one row for each partition
+    # both uses of this pass read one exchange (Spark reuses equal exchanges), so parts agree;
+    # it yields the answers and, per part, its first key: one row for each partition
     tagged = rows.where("is_key = 0 OR at = first_key")
     heads = tagged.where("is_key = 1").select(F.col("part").alias("head_part"), F.col("at").alias("head")).distinct()
     asked = tagged.where("is_key = 0").select("at", "part", "next_here")

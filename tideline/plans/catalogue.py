@@ -229,9 +229,10 @@ def _compact_drop(spark, d):
 
 @query("write_amp", f", {META_SQL}, t AS (SELECT CAST(sum(bytes) AS BIGINT) AS flushed FROM meta), c AS (SELECT CAST(sum(9 + strlen(key) + strlen(value)) AS BIGINT) AS written FROM live) SELECT flushed, written, round(CASE WHEN flushed > 0 THEN CAST(flushed + written AS DOUBLE) / flushed END, 6) AS write_amplification FROM t, c")
 def _write_amp(spark, d):
-    flushed = compaction.file_metadata(runs(spark, d)).agg(F.sum("bytes").alias("flushed"))
-    written = resolve.live(event_log(spark, d)).agg(F.sum(record_size(F.col("key"), F.col("value"))).alias("written"))
-    both = flushed.join(written)  # one row each
+    size = record_size(F.col("key"), F.col("value"))
+    flushed = runs(spark, d).select(size.alias("flushed"), F.lit(0).cast("long").alias("written"))
+    merged = resolve.live(event_log(spark, d)).select(F.lit(0).cast("long").alias("flushed"), size.alias("written"))
+    both = flushed.unionByName(merged).agg(F.sum("flushed").alias("flushed"), F.sum("written").alias("written"))
     return both.withColumn("write_amplification", F.round((F.col("flushed") + F.col("written")).cast("double") / F.nullif("flushed", F.lit(0)), 6))
 
 
