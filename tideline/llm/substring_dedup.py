@@ -24,15 +24,16 @@ windows never reach past their phrase.
 
 Scale: groups are hashed by doc_id to about GROUP_BYTES each, so a hot passage is sent once
 by each group however many documents hold it, and no pairs are formed. Texts are shuffled
-once; that exchange is reused by all passes. A group, or a bucket whose number grows with the
-corpus, is the most a task holds; a single larger document is parsed in pieces. One lazy plan
-without cached state: a lost executor costs the recomputation of its partitions.
+once; that exchange is reused by all passes. Groups and buckets grow in number with the
+corpus, not in size, and a task holds one of them at a time; a single larger document is
+parsed in pieces. One lazy plan without cached state: a lost executor costs the recomputation
+of its partitions.
 
 Phrase identity is 32 bits of the trigger, the bucket and 64 bits of the phrase's hash.
 
 Defined cases: null text is empty: nothing removed, sha256 of no bytes; text shorter than
-SPAN bytes is kept; rows of equal doc_id are one document number and never remove each other;
-other columns are ignored.
+SPAN bytes is kept; rows of equal doc_id are one document number and never remove each other,
+and so are rows without doc_id, which come after all others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,12 +45,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import CHUNK, mix, powers, prefix_hash, runs
+from tideline.llm.common import CHUNK, known_id, mix, own_id, powers, prefix_hash, runs
 
 SPAN, GRAM = 50, 26
 WINDOW = SPAN - GRAM + 1
-GROUP_BYTES = 3_000_000
-GROUPS_PER_TASK = 4
+#: Text of a group of documents and of a task's groups, and the text whose phrases make a bucket.
+GROUP_BYTES, TASK_BYTES, BUCKET_BYTES = 4_000_000, 12_000_000, 12_000_000
 NONE = np.uint64(0)
 _BASE = int(powers(2)[1])
 _INVERSE = int(powers(2, True)[1])
@@ -343,17 +344,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """Per document: bytes, removed bytes, maximal removed runs (also as offsets), sha256 of the rest."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     groups = 1 + total // GROUP_BYTES
-    tasks = 1 + groups // GROUPS_PER_TASK
-    buckets = groups
+    tasks, buckets = int(1 + total // TASK_BYTES), int(1 + total // BUCKET_BYTES)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")
-    grp = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).alias("grp")
-    left = docs.select(grp, F.col("doc_id").cast("long"), data).repartition(int(tasks), "grp")
+    grp = F.pmod(F.xxhash64(known_id()), F.lit(groups)).alias("grp")
+    left = docs.select(grp, known_id().alias("doc_id"), data).repartition(tasks, "grp")
 
     messages = left.groupBy("grp").applyInPandas(lambda pdf: message_rows(pdf, buckets), MESSAGE)
-    answers = messages.repartition(int(tasks), "bucket").groupBy("bucket").applyInPandas(dictionary, ANSWER)
-    asked = left.groupBy("grp").cogroup(answers.repartition(int(tasks), "grp").groupBy("grp")).applyInPandas(lambda a, b: phrase_rows(a, b, buckets), REQUEST)
-    final = asked.repartition(int(tasks), "kind", "key").groupBy("kind", "key").applyInPandas(suffixes, ANSWER)
-    return left.groupBy("grp").cogroup(final.repartition(int(tasks), "grp").groupBy("grp")).applyInPandas(lambda a, b: removed_rows(a, b, buckets), RESULT)
+    answers = messages.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(dictionary, ANSWER)
+    asked = left.groupBy("grp").cogroup(answers.repartition(tasks, "grp").groupBy("grp")).applyInPandas(lambda a, b: phrase_rows(a, b, buckets), REQUEST)
+    final = asked.repartition(tasks + buckets, "kind", "key").groupBy("kind", "key").applyInPandas(suffixes, ANSWER)
+    out = left.groupBy("grp").cogroup(final.repartition(tasks, "grp").groupBy("grp")).applyInPandas(lambda a, b: removed_rows(a, b, buckets), RESULT)
+    return out.withColumn("doc_id", own_id(F.col("doc_id")))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
