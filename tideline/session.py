@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 
@@ -25,3 +29,23 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, once per Spark context.
+
+    Workers import it by name; they need not share the driver's path.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tideline_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tideline-"), "tideline.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("tideline", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._tideline_shipped = True

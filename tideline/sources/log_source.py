@@ -8,6 +8,7 @@ import os
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tideline.session import ship
 from tideline.sources.wal import read_file
 
 SCHEMA = "key string, seq bigint, op tinyint, value string, file string"
@@ -47,4 +48,5 @@ class LogDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(LogDataSource)
