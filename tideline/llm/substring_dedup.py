@@ -50,7 +50,7 @@ from tideline.llm.common import CHUNK, known_id, mix, own_id, powers, prefix_has
 SPAN, GRAM = 50, 26
 WINDOW = SPAN - GRAM + 1
 #: Text of a group of documents and of a task's groups, and the text whose phrases make a bucket.
-GROUP_BYTES, TASK_BYTES, BUCKET_BYTES = 4_000_000, 12_000_000, 12_000_000
+GROUP_BYTES, TASK_BYTES, BUCKET_BYTES = 4_000_000, 6_000_000, 12_000_000
 NONE = np.uint64(0)
 _BASE = int(powers(2)[1])
 _INVERSE = int(powers(2, True)[1])
@@ -344,15 +344,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """Per document: bytes, removed bytes, maximal removed runs (also as offsets), sha256 of the rest."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     groups = 1 + total // GROUP_BYTES
+    # with about one and a half groups and half a bucket for each partition, few of them meet in one task
     tasks, buckets = int(1 + total // TASK_BYTES), int(1 + total // BUCKET_BYTES)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")
     grp = F.pmod(F.xxhash64(known_id()), F.lit(groups)).alias("grp")
     left = docs.select(grp, known_id().alias("doc_id"), data).repartition(tasks, "grp")
 
     messages = left.groupBy("grp").applyInPandas(lambda pdf: message_rows(pdf, buckets), MESSAGE)
-    answers = messages.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(dictionary, ANSWER)
+    answers = messages.repartition(2 * buckets, "bucket").groupBy("bucket").applyInPandas(dictionary, ANSWER)
     asked = left.groupBy("grp").cogroup(answers.repartition(tasks, "grp").groupBy("grp")).applyInPandas(lambda a, b: phrase_rows(a, b, buckets), REQUEST)
-    final = asked.repartition(tasks + buckets, "kind", "key").groupBy("kind", "key").applyInPandas(suffixes, ANSWER)
+    final = asked.repartition(tasks + 2 * buckets, "kind", "key").groupBy("kind", "key").applyInPandas(suffixes, ANSWER)
     out = left.groupBy("grp").cogroup(final.repartition(tasks, "grp").groupBy("grp")).applyInPandas(lambda a, b: removed_rows(a, b, buckets), RESULT)
     return out.withColumn("doc_id", own_id(F.col("doc_id")))
 
