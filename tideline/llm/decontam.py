@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import GOLDEN, blocks, known_id, mix, own_id, runs, texts_of, word_hashes
+from tideline.session import ship
 
 MASKS = ("1110110111", "1101110011", "1011001111011")
 MIN_MATCHED, MAX_MISSES, MIN_IDENTITY = 10, 1, 0.75
@@ -122,6 +123,7 @@ def whole(words: np.ndarray) -> np.ndarray:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, first, last, matched): accepted overlaps, token positions, end exclusive."""
     spark = docs.sparkSession
+    ship(spark)
     schema = "doc_id long, item_id long, first long, last long, matched long"
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.html_pages import labelled_pages
+from tideline.session import ship
 
 N_TRAIN, EPOCHS, RATE, SHRINK, SEED = 1200, 10, 0.3, 1e-5, 7
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -293,6 +294,7 @@ def main_text(page: str | None, model: Model) -> str:
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) per row of pages."""
+    ship(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
     def run(batches):

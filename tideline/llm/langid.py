@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.session import ship
+
 
 BITS, GRAMS = 15, (1, 2, 3)
 SAMPLE_PER_LANG, SAMPLE_BYTES = 1000, 24_000_000
@@ -186,6 +188,7 @@ def train(docs: DataFrame) -> Model:
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row of docs."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def run(batches):

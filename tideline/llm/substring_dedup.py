@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import CHUNK, known_id, mix, own_id, powers, prefix_hash, runs
+from tideline.session import ship
 
 SPAN, GRAM = 50, 26
 WINDOW = SPAN - GRAM + 1
@@ -342,6 +343,7 @@ def removed_rows(left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.Da
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Per document: bytes, removed bytes, maximal removed runs (also as offsets), sha256 of the rest."""
+    ship(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     groups = 1 + total // GROUP_BYTES
     # with about one and a half groups and half a bucket for each partition, few of them meet in one task
