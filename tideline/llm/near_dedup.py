@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import GOLDEN, blocks, cut, known_id, mix, own_id, shingle_hashes, texts_of, word_hashes
+from tideline.llm.common import GOLDEN, blocks, cut, known_id, mix, own_id, shingle_hashes, small_batches, texts_of, word_hashes
 from tideline.llm.components import connected_components
 from tideline.session import ship
 
@@ -196,6 +196,11 @@ def _mixed(members: DataFrame) -> DataFrame:
 def group_near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs."""
     ship(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _grouped(docs)
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
     marks = cut(signatures(docs))
     classes = marks.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     reps = marks.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands")
