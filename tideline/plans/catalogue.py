@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tideline.functions import bloom
 from tideline.functions.records import crc32, encode_entry, expiry_of, is_expired, record_size, value_of
 from tideline.operators import compaction, resolve
 from tideline.options import Options
+from tideline.session import ship
 from tideline.sources import blockfile, log_source, wal
 from tideline.store import Store
 
@@ -336,27 +339,75 @@ def _store_levels(spark, d):
     return store.keys().agg(F.count("*").alias("n_keys")).withColumn("disjoint", F.lit(n.first()[0]))
 
 
-@query("wal_recover", "SELECT key, value FROM live WHERE key < 'user:000020'")
-def _wal_recover(spark, d):
-    """Changes of the first keys as log records, read back through the data source with a torn tail."""
-    rows = event_log(spark, d).where(F.col("key") < "user:000020").orderBy("seq").select("key", "op", "value").collect()
+def written_parts(rows: DataFrame, encode: Callable[[list, int], tuple[str, bytes]], folder: str) -> None:
+    """One file of each partition's rows, written by its task; encode gives its name and bytes."""
+    ship(rows.sparkSession)
+    columns = rows.columns
+
+    def run(batches):
+        held = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
+        if held:
+            name, data = encode(held, TaskContext.get().partitionId())
+            draft = os.path.join(folder, f"{uuid.uuid4().hex}.tmp")
+            with open(draft, "wb") as f:
+                f.write(data)
+            os.replace(draft, os.path.join(folder, name))  # a repeated task puts the same file
+        yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64())], ["n"])
+
+    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def recovered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All changes as segments of one log, each with a torn tail, read back through the data source.
+
+    A segment is a range of seq, so a busy key is no hot file; segments are named in order.
+    """
     folder = scratch(spark)
-    with open(os.path.join(folder, "part.log"), "wb") as f:
-        for r in rows:
-            f.write(wal.Record(r["op"], r["key"], r["value"]).encode())
-        f.write(b"\x40\0\0\0torn")
+
+    def encode(rows, part):
+        return f"part-{part:06d}.log", b"".join(wal.Record(op, key, value).encode() for key, op, value, _ in rows) + b"\x40\0\0\0torn"
+
+    log = event_log(spark, sf_dir).select("key", "op", "value", "seq")
+    written_parts(log.repartitionByRange("seq").sortWithinPartitions("seq"), encode, folder)
     log_source.register(spark)
-    return resolve.scan(spark.read.format("tideline_wal").load(folder))
+    segment = F.regexp_extract("file", r"part-(\d+)\.log$", 1).cast("long")
+    return spark.read.format("tideline_wal").load(folder).withColumn("seq", F.struct(segment, "seq"))
 
 
-@query("block_files", "SELECT key, value FROM live WHERE key < 'user:000020'")
-def _block_files(spark, d):
-    """Two generations of block files, the older one a level below, merged by recency."""
+def block_file_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All changes through two generations of block files, the older one a level below.
+
+    The files of a generation hold disjoint ranges of keys.
+    """
     folder = scratch(spark)
-    log = event_log(spark, d).where(F.col("key") < "user:000020")
+    log = event_log(spark, sf_dir)
     middle = log.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
-    for name, part in (("sstable_L1_000001.sst", log.where(F.col("seq") <= middle)), ("sstable_L0_000002.sst", log.where(F.col("seq") > middle))):
-        rows = resolve.latest(part).select("key", "value").collect()
-        with open(os.path.join(folder, name), "wb") as f:
-            f.write(blockfile.encode([(r["key"], r["value"]) for r in rows]))
-    return resolve.scan(blockfile.as_log(blockfile.read_block_files(spark, folder)))
+    for level, part in ((1, log.where(F.col("seq") <= middle)), (0, log.where(F.col("seq") > middle))):
+
+        def encode(rows, k, level=level):
+            return f"sstable_L{level}_{2 * k + 2 - level:06d}.sst", blockfile.encode(rows)
+
+        written_parts(resolve.latest(part).select("key", "value").repartitionByRange("key"), encode, folder)
+    return blockfile.as_log(blockfile.read_block_files(spark, folder))
+
+
+@query("wal_recover", "SELECT key, value FROM live WHERE key < 'user:000020'")
+def _wal_recover(spark, d):
+    """The first keys of the recovered log; the log holds all of them."""
+    return resolve.scan(recovered_log(spark, d)).where(F.col("key") < "user:000020")
+
+
+@query("wal_recover_all", "SELECT key, value FROM live")
+def _wal_recover_all(spark, d):
+    return resolve.scan(recovered_log(spark, d))
+
+
+@query("block_files", "SELECT key, value FROM live WHERE key < 'user:000020'")
+def _block_files(spark, d):
+    """The first keys of the block files, merged by recency; the files hold all of them."""
+    return resolve.scan(block_file_log(spark, d)).where(F.col("key") < "user:000020")
+
+
+@query("block_files_all", "SELECT key, value FROM live")
+def _block_files_all(spark, d):
+    return resolve.scan(block_file_log(spark, d))
