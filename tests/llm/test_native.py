@@ -179,3 +179,22 @@ def test_sampling_follows_the_probability(spark):
 
     mean, low = spark.range(20000).select(stable_unit(F.col("id"), "s").alias("u")).agg(F.avg("u"), F.avg((F.col("u") < 0.3).cast("int"))).first()
     assert mean == pytest.approx(0.5, abs=0.01) and low == pytest.approx(0.3, abs=0.02)
+
+
+SAMPLES = {
+    "email": ["a@b.io"],
+    "phone": ["+1 (017) 555-7713", "017-555-7713"],
+    "ip": ["8.8.8.8", "1.1.1.1", "10.20.30.40"],
+    "card": ["4111111111111111", "4111 1111 1111 1111"],
+    "ssn": ["123-45-6789"],
+    "iban": ["DE89370400440532013000"],
+    "name": [f"{t} Aba" for titles in pii.TITLES.values() for t in titles.split("|")],
+}
+
+
+def test_each_sample_alone_is_found(docs):
+    """The prefilter passes every text that a single pattern matches."""
+    rows = [(k, f"see {e} ok", kind) for k, (kind, e) in enumerate((kind, e) for kind, v in SAMPLES.items() for e in v)]
+    got = {r["doc_id"]: r for r in pii.pseudonymize(docs(rows)).collect()}
+    for k, text, kind in rows:
+        assert got[k][f"n_{kind}"] == got[k]["n_entities"] == 1 and got[k]["text"] != text, text

@@ -43,7 +43,8 @@ SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 NAME = rf"(?<!\p{{L}})(?:{TITLES['m']}|{TITLES['f']})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
 PATTERN = "|".join((EMAIL, PHONE, IP, CARD, SSN, IBAN, NAME))
-LIKELY = rf"@|[0-9]{{2}}|(?:{TITLES['m']}|{TITLES['f']})\.? "
+#: Found in every text that PATTERN matches.
+LIKELY = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|(?:{TITLES['m']}|{TITLES['f']})\.? "
 CONSONANTS, VOWELS = {"latin": "bdfgklmnprstv", "cyrillic": "бвгдзклмнпрст"}, {"latin": "aeiou", "cyrillic": "аеиоу"}
 MAX_SALTS = 40
 
