@@ -198,3 +198,34 @@ def test_each_sample_alone_is_found(docs):
     got = {r["doc_id"]: r for r in pii.pseudonymize(docs(rows)).collect()}
     for k, text, kind in rows:
         assert got[k][f"n_{kind}"] == got[k]["n_entities"] == 1 and got[k]["text"] != text, text
+
+
+WIDE = {
+    "phone": ["(555) 123-4567", "+44 20 7946 0958", "+33 1 23 45 67 89", "+15551234567", "+49 (30) 1234567"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "BE68 5390 0754 7034", "NO93 8601 1117 947"],
+    "name": ["Mr. John Paul Smith", "Ms Smith-Jones", "Mr McDonald", "Mrs O'Brien", "Dr. Ada van der Berg", "Herr Prof. Dr. Max Karl Emil Weiß", "Mr. J. R. Smith", "Prof. J.-P. D’Arc"],
+}
+
+
+def test_wide_forms_are_replaced_whole(docs):
+    """All of the entity is replaced, nothing around it, and marks and titles stay."""
+    rows = [(k, f"see {e}, ok", kind) for k, (kind, e) in enumerate((kind, e) for kind, v in WIDE.items() for e in v)]
+    rows += [(100, "AB12 THIS LAND IS YOUR LAND; Mr. Smith's dog. Then BE68 5390 0754 7034 IS VALID", ""), (101, "+1 (555) 123-4567 DE89370400440532013000 555-123-4567", "")]
+    rows.append((102, "Mr" + " Aa" * 30000 + " A.-B." * 9000 + " x", ""))
+    got = {r["doc_id"]: r for r in pii.pseudonymize(docs(rows)).collect()}
+    for k, text, kind in rows[:-3]:
+        old, new = text[4:-4], got[k]["text"][4:-4]
+        assert got[k][f"n_{kind}"] == got[k]["n_entities"] == 1 and got[k]["text"] == f"see {new}, ok", text
+        if kind == "name":
+            words = lambda t: set(re.findall(r"[^\W\d_]{2,}", t)) - {"Mr", "Mrs", "Ms", "Dr", "Herr", "Prof", "van", "der"}
+            assert not words(old) & words(new) and new.split()[0] == old.split()[0], text
+        else:
+            shape = lambda t: re.sub("[A-Z]", "A", re.sub("[0-9]", "9", t))
+            assert shape(new) == shape(old) and new != old, text
+    assert got[1]["text"][4:8] == "+44 " and got[2]["text"][4:8] == "+33 "
+    assert re.fullmatch(r"AB12 THIS LAND IS YOUR LAND; Mr\. \w+'s dog\. Then BE\d\d( \d{4}){3} IS VALID", got[100]["text"]) and "Smith" not in got[100]["text"]
+    plus, iban, plain = re.fullmatch(r"(\+1 \(\d{3}\) \d{3}-\d{4}) (DE\d{20}) (\d{3}-\d{3}-\d{4})", got[101]["text"]).groups()
+    same = lambda t: re.sub(r"\W", "", t)
+    assert same(got[3]["text"][4:-4]) == same(plus) == "1" + same(plain) and same(got[0]["text"][4:-4]) == same(plain)
+    assert same(got[5]["text"][4:-4]) == iban
+    assert (got[102]["n_name"], got[102]["text"][-2:]) == (1, " x")

@@ -1,8 +1,9 @@
 """Surrogates for personal data: keyed, type-consistent, distinct and coreferent.
 
 Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment cards (Luhn-valid
-numbers only), ids of the form ddd-dd-dddd, IBANs, and names after a title. An entity's
-canonical form (lower case, or digits alone) is mapped to a surrogate of the same form:
+numbers only), ids of the form ddd-dd-dddd, IBANs (closed up or in fours), and names after
+titles, with any number of parts. An entity's canonical form (lower case, or digits alone) is
+mapped to a surrogate of the same form:
 
 - digits go through a keyed Feistel permutation of their length, so distinct numbers stay
   distinct; country codes, a card's first digit and Luhn validity, and all marks are kept;
@@ -33,18 +34,33 @@ from tideline.llm.exprs import let, total
 
 KEY = "tideline-surrogates"
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "name")
-TITLES = {"m": r"Mr|Herr|Monsieur|Señor|Sr|г-н", "f": r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа"}
+TITLES = {"m": r"Mr|Herr|Monsieur|Señor|Sr|г-н", "f": r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа", "n": r"Dr|Doctor|Prof|Professor|Mx|д-р|проф"}
+TITLE = "|".join(TITLES.values())
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}"
-PHONE = r"(?<![\w.+])\+?\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.+-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)"
+PHONE = "|".join((
+    r"(?<![\w.+])\+?\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)",
+    r"(?<![\w.+-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)",
+    r"\((?<![\w.+]\()\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    r"\+(?<![\w.+]\+)[1-9]\d{0,2}[ ./-]?(?:\(\d{1,4}\)[ ./-]?)?\d(?:[ ./-]?\d){5,11}(?!\d)",
+))
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
-NAME = rf"(?<!\p{{L}})(?:{TITLES['m']}|{TITLES['f']})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
+#: Country codes by the length of their IBANs, for the form printed in fours (registry of the standard).
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
+IN_FOURS = "|".join(rf"(?:{c})\d{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+IBAN = rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}|(?=[A-Z]{{2}}\d{{2}} )(?:{IN_FOURS}))(?![A-Za-z0-9])"
+#: Loops of groups are possessive: those need no stack in Java, however long the text.
+WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:(?:['’](?!s(?!\p{L}))|[-‐‑])[\p{L}\p{M}]++)*+"
+PARTICLES = ("van", "von", "vom", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "zu", "zum", "zur", "y")
+PART = rf"(?:(?:{'|'.join(PARTICLES)}) )*+(?:\p{{Lu}}\.(?:[ -]?\p{{Lu}}\.)*+(?:[ -]?{WORD})?+|{WORD})"
+NAME = rf"(?<!\p{{L}})(?:(?:{TITLE})\.? )++{PART}(?: {PART})*+"
 PATTERN = "|".join((EMAIL, PHONE, IP, CARD, SSN, IBAN, NAME))
 #: Found in every text that PATTERN matches.
-LIKELY = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|(?:{TITLES['m']}|{TITLES['f']})\.? "
+LIKELY = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|\+[1-9]|(?:{TITLE})\.? "
+#: Country codes of telephone numbers; all others have three digits.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 CONSONANTS, VOWELS = {"latin": "bdfgklmnprstv", "cyrillic": "бвгдзклмнпрст"}, {"latin": "aeiou", "cyrillic": "аеиоу"}
 MAX_SALTS = 40
 
@@ -65,7 +81,7 @@ def kind_of(e: Column) -> Column:
         F.when(e.contains("@"), "email")
         .when(e.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), "ip")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(e.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]+$"), "iban")
+        .when(e.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$"), "iban")
         .when(e.rlike(r"^\p{L}"), "name")
         .when(e.rlike(r"^(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})$"), F.when(luhn_sum(digits(e), 1) % 10 == 0, "card"))
         .otherwise("phone")
@@ -73,9 +89,11 @@ def kind_of(e: Column) -> Column:
 
 
 def canonical(kind: Column, e: Column) -> Column:
-    name = F.regexp_replace(e, rf"^(?:{TITLES['m']}|{TITLES['f']})\.? ", "")
-    gender = F.when(e.rlike(rf"^(?:{TITLES['f']})\.? "), "f:").otherwise("m:")
-    return F.when(kind == "email", F.lower(e)).when(kind.isin("phone", "card", "ssn"), digits(e)).when(kind == "name", F.concat(gender, name)).otherwise(e)
+    name = F.regexp_replace(e, rf"^(?:(?:{TITLE})\.? )++", "")
+    titled = lambda g: e.rlike(rf"^(?:(?:{TITLES['n']})\.? )*(?:{TITLES[g]})\.? ")
+    gender = F.when(titled("f"), "f:").when(titled("m"), "m:").otherwise("n:")
+    phone = let(digits(e), lambda d: F.when(e.startswith("+") | (F.length(d) > 10), F.concat(F.lit("+"), d)).otherwise(d))
+    return F.when(kind == "email", F.lower(e)).when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits(e)).when(kind == "name", F.concat(gender, name)).when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).otherwise(e)
 
 
 def keyed(key: str, salt: Column, *parts: Column) -> Column:
@@ -135,7 +153,7 @@ def syllables(part: Column, gender: Column, key: str, salt: Column) -> Column:
         def run(h: Column) -> Column:
             pick = lambda s, n, shift: F.substring(s, (F.pmod(F.xxhash64(h, F.lit(shift)), F.lit(n)) + 1).cast("int"), F.lit(1))
             body = F.concat(*[F.concat(pick(c, nc, 2 * k), pick(v, nv, 2 * k + 1)) for k in range(3)])
-            end = F.when(gender == "f", {"latin": "na", "cyrillic": "на"}[script]).otherwise({"latin": "n", "cyrillic": "н"}[script])
+            end = F.when(gender == "f", {"latin": "na", "cyrillic": "на"}[script]).when(gender == "m", {"latin": "n", "cyrillic": "н"}[script]).otherwise({"latin": "r", "cyrillic": "р"}[script])
             return F.initcap(F.concat(body, end))
 
         return let(keyed(key, salt, gender, part), run)
@@ -143,11 +161,18 @@ def syllables(part: Column, gender: Column, key: str, salt: Column) -> Column:
     return F.when(part.rlike(r"\p{IsCyrillic}"), build("cyrillic")).otherwise(build("latin"))
 
 
+def name_part(part: Column, gender: Column, key: str, salt: Column) -> Column:
+    """The surrogate of one part of a name: particles stay, initials stay initials, hyphens stay."""
+    whole = F.array_join(F.transform(F.split(part, "[-‐‑]"), lambda q: syllables(q, gender, key, salt)), "-")
+    initial = F.concat(F.substring(syllables(part, gender, key, salt), 1, 1), F.lit("."))
+    return F.when(part.isin(*PARTICLES), part).when(part.rlike(r"^\p{Lu}\.$"), initial).otherwise(whole)
+
+
 def surrogate(kind: Column, canon: Column, salt: Column, key: str) -> Column:
     """The canonical surrogate of a canonical entity."""
     n = F.length(canon)
-    keep = F.greatest(n - 10, F.lit(0))
-    phone = F.concat(F.substring(canon, F.lit(1), keep), permuted(F.substring(canon, keep + 1, n), key, salt, "phone"))
+    code = F.regexp_extract(canon, COUNTRY, 0)
+    phone = F.concat(code, permuted(F.substring(canon, F.length(code) + 1, n), key, salt, "phone"))
     stem = F.concat(F.substring(canon, F.lit(1), F.lit(1)), permuted(F.substring(canon, F.lit(2), n - 2), key, salt, "card"))
     card = let(stem, lambda s: F.concat(s, F.pmod(-luhn_sum(s, 0), F.lit(10)).cast("string")))
     octet = lambda k: F.get(F.split(canon, r"\."), F.lit(k)).cast("long")
@@ -158,17 +183,18 @@ def surrogate(kind: Column, canon: Column, salt: Column, key: str) -> Column:
     email = F.concat(substituted(user, key, salt, canon), F.lit("@"), substituted(host, key, F.lit(0), domain), top)
     iban = F.concat(F.substring(canon, 1, 2), substituted(F.substring(canon, F.lit(3), n), key, salt, canon))
     gender = F.substring(canon, 1, 1)
-    name = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(F.split(F.substring(canon, F.lit(3), n), " "), lambda p: syllables(p, gender, key, salt)), " "))
+    name = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(F.split(F.substring(canon, F.lit(3), n), " "), lambda p: name_part(p, gender, key, salt)), " "))
     return F.when(kind == "email", email).when(kind.isin("phone"), phone).when(kind == "ssn", permuted(canon, key, salt, "ssn")).when(kind == "card", card).when(kind == "ip", ip).when(kind == "iban", iban).otherwise(name)
 
 
 def rendered(kind: Column, e: Column, s: Column) -> Column:
     """A canonical surrogate in the format of the entity as it stands in the text."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
-    filled = F.aggregate(F.split(e, ""), start, lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["out"], F.substring(s, a["k"], F.lit(1))).alias("out"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k"))))["out"]
+    fill = lambda s, held: F.aggregate(F.split(e, ""), start, lambda a, c: F.when(c.rlike(held), F.struct(F.concat(a["out"], F.substring(s, a["k"], F.lit(1))).alias("out"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k"))))["out"]
+    filled, grouped = fill(F.ltrim(s, F.lit("+")), "[0-9]"), fill(s, "[A-Z0-9]")
     cased = F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(s, i + 1, F.lit(1)))).otherwise(F.substring(s, i + 1, F.lit(1)))), "")
-    title = F.regexp_extract(e, rf"^(?:{TITLES['m']}|{TITLES['f']})\.? ", 0)
-    return F.when(kind == "email", cased).when(kind.isin("phone", "card", "ssn"), filled).when(kind == "name", F.concat(title, F.substring(s, F.lit(3), F.length(s)))).otherwise(s)
+    title = F.regexp_extract(e, rf"^(?:(?:{TITLE})\.? )++", 0)
+    return F.when(kind == "email", cased).when(kind.isin("phone", "card", "ssn"), filled).when(kind == "name", F.concat(title, F.substring(s, F.lit(3), F.length(s)))).when(kind == "iban", grouped).otherwise(s)
 
 
 def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
