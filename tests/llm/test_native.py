@@ -229,3 +229,22 @@ def test_wide_forms_are_replaced_whole(docs):
     assert same(got[3]["text"][4:-4]) == same(plus) == "1" + same(plain) and same(got[0]["text"][4:-4]) == same(plain)
     assert same(got[5]["text"][4:-4]) == iban
     assert (got[102]["n_name"], got[102]["text"][-2:]) == (1, " x")
+
+
+def test_full_forms_get_distinct_surrogates(spark):
+    """All users of one letter and one digit within domains, and all numbers of a short form."""
+    users = [("email", f"{a}@{d}") for d in ("one.io", "two.io", "x.de", "y.de") for a in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    phones = [("phone", f"+290{k:04}") for k in range(10000)] + [("phone", "0175557713"), ("phone", "+29112345")]
+    real = users + phones + [("name", "m:J."), ("name", "m:K.")] + [("name", f"f:{c}.") for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    got = pii.mapping(spark.createDataFrame(real, "kind string, canon string")).collect()
+    assert sorted((r["kind"], r["canon"]) for r in got) == sorted(real)
+    assert len({(r["kind"], r["s"]) for r in got}) == len(real) and all(r["canon"] != r["s"] for r in got)
+    assert not {(r["kind"], r["s"]) for r in got if not r["canon"].startswith("+290")} & set(real)
+    assert all(re.fullmatch(r"\+290\d{4}", r["s"]) for r in got if r["canon"].startswith("+290"))
+
+
+def test_lengthened_surrogates_are_rendered_whole(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.sql("SELECT 'email' AS kind, 'A@One.io' AS e, 'qxb@kfd.io' AS s")
+    assert row.select(pii.rendered(F.col("kind"), F.col("e"), F.col("s")).alias("t")).first()["t"] == "qxB@Kfd.io"

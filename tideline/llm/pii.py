@@ -14,6 +14,9 @@ mapped to a surrogate of the same form:
 
 Equal entities get equal surrogates in all documents. Collision checks: a surrogate that is
 some real entity of the table, or that another entity has, is drawn again with another salt.
+After four draws, e-mail users and names grow with each further one, so that the space of
+surrogates outgrows any table. Where numbers of one form are so dense that twelve draws fail,
+the entities of that form exchange their values. No table is refused.
 
 Scale: texts are scanned once; rows with candidates are written to the shared folder, others
 pass. The mapping is built per distinct entity after partial aggregation. An entity that is
@@ -26,7 +29,7 @@ are treated one by one; other columns are kept as they are. The key is a paramet
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import cut
@@ -62,7 +65,9 @@ LIKELY = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|\+[1-9]|(?:{TITLE})\.? "
 #: Country codes of telephone numbers; all others have three digits.
 COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 CONSONANTS, VOWELS = {"latin": "bdfgklmnprstv", "cyrillic": "бвгдзклмнпрст"}, {"latin": "aeiou", "cyrillic": "аеиоу"}
-MAX_SALTS = 40
+#: Draws at the surrogate's own length; then e-mail users and names grow by a letter or syllable
+#: a draw, until all are free. Other kinds have a fixed length and MAX_SALTS draws.
+OWN_LENGTH, MAX_SALTS = 4, 12
 
 
 def digits(x: Column) -> Column:
@@ -143,8 +148,8 @@ def substituted(x: Column, key: str, salt: Column, seed: Column) -> Column:
     return let(keyed(key, salt, seed), run)
 
 
-def syllables(part: Column, gender: Column, key: str, salt: Column) -> Column:
-    """A name of two to four syllables in the script of part, with an ending of its gender."""
+def syllables(part: Column, gender: Column, key: str, salt: Column, extra: int = 0) -> Column:
+    """A name of three and extra syllables in the script of part, with an ending of its gender."""
 
     def build(script: str) -> Column:
         c, v = F.lit(CONSONANTS[script]), F.lit(VOWELS[script])
@@ -152,7 +157,7 @@ def syllables(part: Column, gender: Column, key: str, salt: Column) -> Column:
 
         def run(h: Column) -> Column:
             pick = lambda s, n, shift: F.substring(s, (F.pmod(F.xxhash64(h, F.lit(shift)), F.lit(n)) + 1).cast("int"), F.lit(1))
-            body = F.concat(*[F.concat(pick(c, nc, 2 * k), pick(v, nv, 2 * k + 1)) for k in range(3)])
+            body = F.concat(*[F.concat(pick(c, nc, 2 * k), pick(v, nv, 2 * k + 1)) for k in range(3 + extra)])
             end = F.when(gender == "f", {"latin": "na", "cyrillic": "на"}[script]).when(gender == "m", {"latin": "n", "cyrillic": "н"}[script]).otherwise({"latin": "r", "cyrillic": "р"}[script])
             return F.initcap(F.concat(body, end))
 
@@ -161,15 +166,15 @@ def syllables(part: Column, gender: Column, key: str, salt: Column) -> Column:
     return F.when(part.rlike(r"\p{IsCyrillic}"), build("cyrillic")).otherwise(build("latin"))
 
 
-def name_part(part: Column, gender: Column, key: str, salt: Column) -> Column:
+def name_part(part: Column, gender: Column, key: str, salt: Column, extra: int = 0) -> Column:
     """The surrogate of one part of a name: particles stay, initials stay initials, hyphens stay."""
-    whole = F.array_join(F.transform(F.split(part, "[-‐‑]"), lambda q: syllables(q, gender, key, salt)), "-")
+    whole = F.array_join(F.transform(F.split(part, "[-‐‑]"), lambda q: syllables(q, gender, key, salt, extra)), "-")
     initial = F.concat(F.substring(syllables(part, gender, key, salt), 1, 1), F.lit("."))
-    return F.when(part.isin(*PARTICLES), part).when(part.rlike(r"^\p{Lu}\.$"), initial).otherwise(whole)
+    return F.when(part.isin(*PARTICLES), part).when(part.rlike(r"^\p{Lu}\.$") & F.lit(not extra), initial).otherwise(whole)
 
 
-def surrogate(kind: Column, canon: Column, salt: Column, key: str) -> Column:
-    """The canonical surrogate of a canonical entity."""
+def surrogate(kind: Column, canon: Column, salt: Column, key: str, extra: int = 0) -> Column:
+    """The canonical surrogate of a canonical entity, e-mail users and names longer by extra."""
     n = F.length(canon)
     code = F.regexp_extract(canon, COUNTRY, 0)
     phone = F.concat(code, permuted(F.substring(canon, F.length(code) + 1, n), key, salt, "phone"))
@@ -180,10 +185,11 @@ def surrogate(kind: Column, canon: Column, salt: Column, key: str) -> Column:
     user, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(substituted(user, key, salt, canon), F.lit("@"), substituted(host, key, F.lit(0), domain), top)
+    more = substituted(F.lit("x" * extra), key, F.concat_ws(".", salt.cast("string"), F.lit("more")), canon) if extra else F.lit("")
+    email = F.concat(more, substituted(user, key, salt, canon), F.lit("@"), substituted(host, key, F.lit(0), domain), top)
     iban = F.concat(F.substring(canon, 1, 2), substituted(F.substring(canon, F.lit(3), n), key, salt, canon))
     gender = F.substring(canon, 1, 1)
-    name = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(F.split(F.substring(canon, F.lit(3), n), " "), lambda p: name_part(p, gender, key, salt)), " "))
+    name = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(F.split(F.substring(canon, F.lit(3), n), " "), lambda p: name_part(p, gender, key, salt, extra)), " "))
     return F.when(kind == "email", email).when(kind.isin("phone"), phone).when(kind == "ssn", permuted(canon, key, salt, "ssn")).when(kind == "card", card).when(kind == "ip", ip).when(kind == "iban", iban).otherwise(name)
 
 
@@ -192,17 +198,38 @@ def rendered(kind: Column, e: Column, s: Column) -> Column:
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
     fill = lambda s, held: F.aggregate(F.split(e, ""), start, lambda a, c: F.when(c.rlike(held), F.struct(F.concat(a["out"], F.substring(s, a["k"], F.lit(1))).alias("out"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k"))))["out"]
     filled, grouped = fill(F.ltrim(s, F.lit("+")), "[0-9]"), fill(s, "[A-Z0-9]")
-    cased = F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(s, i + 1, F.lit(1)))).otherwise(F.substring(s, i + 1, F.lit(1)))), "")
+    more = F.length(s) - F.length(e)
+    letter = lambda i: F.substring(s, i + more + 1, F.lit(1))
+    cased = F.concat(F.substring(s, F.lit(1), more), F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(letter(i))).otherwise(letter(i))), ""))
     title = F.regexp_extract(e, rf"^(?:(?:{TITLE})\.? )++", 0)
     return F.when(kind == "email", cased).when(kind.isin("phone", "card", "ssn"), filled).when(kind == "name", F.concat(title, F.substring(s, F.lit(3), F.length(s)))).when(kind == "iban", grouped).otherwise(s)
 
 
+def form(kind: Column, canon: Column) -> Column:
+    """What the surrogates of a kind of fixed length keep: entities of unlike forms never collide."""
+    size = F.length(canon).cast("string")
+    phone = F.concat(F.regexp_extract(canon, COUNTRY, 0), F.lit(":"), size)
+    iban = F.concat(F.substring(canon, 1, 2), F.regexp_replace(F.regexp_replace(F.substring(canon, F.lit(3), F.length(canon)), "[0-9]", "9"), "[A-Z]", "A"))
+    return F.when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "card", F.concat(F.substring(canon, 1, 1), F.lit(":"), size)).when(kind == "ip", "").otherwise(size)
+
+
+def exchanged(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, canon, s) of full forms: each entity gets the next one of its form, in keyed order."""
+    order = Window.partitionBy("kind", "form").orderBy(F.sha2(F.concat_ws("|", F.lit(key), "canon"), 256), "canon")
+    after, first = F.lead("canon").over(order), F.first("canon").over(order)
+    return entities.select("kind", "canon", F.coalesce(after, first).alias("s"))
+
+
 def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, canon, s): the surrogate of each distinct entity, without collisions."""
+    """(kind, canon, s): the surrogate of each distinct entity, without collisions.
+
+    Where real entities fill a form of fixed length so far that draws still fail, the entities of
+    that form exchange their values: distinct, and none keeps its own, though each is a real one.
+    """
     real = cut(entities.select("kind", "canon").distinct())
-    taken, open_ = None, real
-    for salt in range(MAX_SALTS):
-        drawn = cut(open_.withColumn("s", surrogate(F.col("kind"), F.col("canon"), F.lit(salt), key)))
+    taken, open_, salt = None, real, 0
+    while True:
+        drawn = cut(open_.withColumn("s", surrogate(F.col("kind"), F.col("canon"), F.lit(salt), key, max(0, salt - OWN_LENGTH + 1))))
         first = drawn.groupBy("kind", "s").agg(F.min("canon").alias("canon"))
         good = first.join(real.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_anti")
         if taken is not None:
@@ -210,9 +237,15 @@ def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
         good = good.select("kind", "canon", "s")
         taken = cut(good if taken is None else taken.unionByName(good))
         open_ = cut(drawn.drop("s").join(taken.select("kind", "canon"), ["kind", "canon"], "left_anti"))
+        salt += 1
+        if salt == MAX_SALTS:
+            formed = lambda df: df.where("kind NOT IN ('email', 'name')").withColumn("form", form(F.col("kind"), F.col("canon")))
+            full = formed(open_).select("kind", "form").distinct()
+            swapped = cut(exchanged(formed(real).join(full, ["kind", "form"], "left_semi"), key))
+            taken = cut(taken.join(swapped, ["kind", "canon"], "left_anti").unionByName(swapped))
+            open_ = open_.where("kind IN ('email', 'name')")
         if open_.isEmpty():
             return taken
-    raise RuntimeError("no free surrogate found for some entities")
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
