@@ -129,3 +129,18 @@ def test_generated_pages_of_the_test_tables(spark, sf_dir):
         article = re.search(r"<article>(.*?)</article>", source[r["page_id"]], re.S)[1]
         article = re.sub(r"</?b>", "", article)
         assert r["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", article)).split())
+
+
+@pytest.mark.parametrize("attribute", ['data-y="12.5"', "data-y", 'data-year="2020"', "data-yoast=on", 'data-y="1"', 'data-y="0"', 'classy="nav"', 'hidden-by="x"'])
+def test_label_attributes_mean_nothing_on_pages(model, attribute):
+    pages = [re.sub(' data-y="[01]"', "{}", p) for p in labelled_pages(20, 4242) if "{" not in p]
+    plain = [h.main_text(p.replace("{}", ""), model) for p in pages]
+    assert [h.main_text(p.replace("{}", " " + attribute), model) for p in pages] == plain and any(plain)
+
+
+def test_formulas_stay_in_the_text(model):
+    formula = "so <math><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><mspace/></mrow></math> holds, "
+    pages = [p for p in labelled_pages(40, 4242) if '<p data-y="1">' in p]
+    with_formula = [h.main_text(p.replace('<p data-y="1">', '<p data-y="1">' + formula), model) for p in pages]
+    in_words = [h.main_text(p.replace('<p data-y="1">', '<p data-y="1">so x=12 holds, '), model) for p in pages]
+    assert with_formula == in_words and any("so x=12 holds, " in t for t in in_words)

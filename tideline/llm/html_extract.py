@@ -35,11 +35,13 @@ from tideline.session import ship
 N_TRAIN, EPOCHS, RATE, SHRINK, SEED = 1200, 10, 0.3, 1e-5, 7
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 UNFINISHED = re.compile(r"</?[a-zA-Z]|<[!?]")
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-y|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "video", "audio", "canvas", "xmp", "noembed", "noframes", "textarea", "title"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-y|hidden|aria-hidden)(?=[\s=/]|$)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "video", "audio", "canvas", "xmp", "noembed", "noframes", "textarea", "title"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "mspace", "mprescripts", "malignmark", "maligngroup", "mglyph", "none"}
 BREAKS = {"br", "hr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input"}
+#: A formula is part of the text around it.
+MATH = {"math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "mfenced", "menclose", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mtable", "mtr", "mlabeledtr", "mtd", "maction", "semantics", "annotation", "annotation-xml"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input"} | MATH
 #: Start tags that end an open element of the listed kinds, up to the nearest boundary.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 BOUNDARY = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}}
@@ -55,8 +57,11 @@ class Block:
         self.text, self.links = [], 0
 
 
-def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
-    """Block elements in page order (0 is the root), and the text pieces with their block's number."""
+def blocks_of(page: str, labelled: bool = True) -> tuple[list[Block], list[tuple[int, str]]]:
+    """Block elements in page order (0 is the root), and the text pieces with their block's number.
+
+    labelled: pages of html_pages, whose attribute data-y is a block's state; on others it means nothing.
+    """
     out = [Block("#root", -1, (), None)]
     pieces: list[tuple[int, str]] = []
     stack = [("#root", 0)]  # open elements: tag, and the block that holds their text
@@ -133,7 +138,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
             for a in ATTRIBUTE.finditer(attrs):
                 name, value = a[1].lower(), (a[2] or "").strip("\"'")
                 if name == "data-y":
-                    label = int(value)
+                    label = int(value) if labelled else None
                 elif name in ("hidden", "aria-hidden"):
                     if value.lower() != "false":
                         names.append("hidden")
@@ -279,7 +284,7 @@ def default_model() -> Model:
 def main_text(page: str | None, model: Model) -> str:
     if not page:
         return ""
-    nodes, pieces = blocks_of(page)
+    nodes, pieces = blocks_of(page, labelled=False)
     tree = Tree(nodes, *model)
     tree.run()
     kept, last = [], None
