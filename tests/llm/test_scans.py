@@ -106,3 +106,12 @@ def test_licenses(docs):
 def test_license_edges(edges, empty):
     assert licenses.scan(edges).where("n_licenses = 0").count() == edges.count()
     assert licenses.scan(empty).count() == 0
+
+
+@pytest.mark.parametrize("name, kind, version, thing", [("gpl-2.0", "General", "2", "program"), ("gpl-3.0", "General", "3", "program"), ("agpl-3.0", "Affero General", "3", "program"), ("lgpl-2.1", "Lesser General", "2.1", "library"), ("lgpl-3.0", "Lesser General", "3", "library")])
+def test_headers_of_the_gnu_licences_are_told_apart(docs, name, kind, version, thing):
+    from tideline.llm import licenses
+
+    text = f"This {thing} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+    got = licenses.scan(docs([(1, f"Tool\n\n{text}\n\ncode")])).first()
+    assert (got["licenses"], got["best_score"]) == (name, 1.0)
