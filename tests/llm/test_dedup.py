@@ -75,6 +75,37 @@ def test_near_edges(docs, edges, empty):
     assert [r["doc_id"] for r in twice.collect()] == [9]
 
 
+def test_near_groups_of_repeated_and_missing_ids(docs):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " x"), (2**63 - 1, c), (None, c), (None, a), (None, "lone words"), (None, "lone words"), (None, ""), (None, None), (5, ""), (8, " ")]
+    table = docs(rows)
+    got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in near_dedup.group_near_duplicates(table).collect())
+    top = str(2**63 - 1)
+    assert got == sorted([("5", "5", True)] * 3 + [("6", "5", False), ("7", "5", False), (top, top, True), ("None", top, False), ("None", "5", False), ("8", "8", True)] + [("None", "None", True)] * 4)
+    kept = near_dedup.clean(table).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["5", "8", top] + ["None"] * 3)
+
+
+def test_word_hashes_tell_structured_words_apart():
+    """Two Thue-Morse words collide under any polynomial modulo 2^64; long and short ranges alike."""
+    from tideline.llm.common import CHUNK, word_hashes
+
+    def morse(n):
+        return bytes(97 + bin(k).count("1") % 2 for k in range(n))
+
+    for n in (16, 64, 256, 2048):
+        x = morse(n)
+        y = x.translate(bytes.maketrans(b"ab", b"ba"))
+        h, _ = word_hashes([x, y, x.upper()])
+        assert h[0] != h[1] and h[0] == h[2]
+    r = random.Random(3)
+    words = {"".join(r.choice("ab") for _ in range(r.randrange(1, 40))) for _ in range(4000)}
+    h, _ = word_hashes([" ".join(sorted(words)).encode()])
+    assert len(set(h.tolist())) == len(words)
+    one, n = word_hashes([b"x" * (3 * CHUNK) + b" y"])
+    assert n.tolist() == [2] and one[0] != one[1]
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(3)
     x = r.integers(0, 2**63, 400, dtype=np.uint64)
@@ -124,6 +155,24 @@ def test_spans_match_brute_force(docs, seed, monkeypatch):
     assert got == brute_spans(rows)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_spans_under_hot_triggers_match_brute_force(docs, seed, monkeypatch):
+    """A passage shorter than a window in many documents, each with other text around it."""
+    for name, size in (("GROUP_BYTES", 1500), ("TASK_BYTES", 4000), ("BUCKET_BYTES", 2500), ("HOT_PHRASES", 6), ("LOCAL", 2)):
+        monkeypatch.setattr(substring_dedup, name, size)
+    r = random.Random(seed)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, tails = text(40), [text(30) for _ in range(4)]
+    rows = [(k * 7 % 61, text(r.randrange(5, 30)) + passage + r.choice([text(30), r.choice(tails)]) + ("x" * 70 if k % 5 == 0 else "")) for k in range(60)] + span_rows(seed)
+    table = docs(rows)
+    hot = substring_dedup.hot_triggers(table, 10_000)
+    assert 1 <= len(hot) and (np.diff(hot) > 0).all()
+    assert sorted(tuple(r)[:5] for r in substring_dedup.dedup(table).collect()) == brute_spans(rows)
+    held = [substring_dedup.Parse([t.encode()], hot) for _, t in rows]
+    phrases = {(t, h) for p in held for t, h in zip(p.trigger.tolist(), p.hash.tolist(), strict=True)}
+    assert max(np.unique([t for t, _ in phrases], return_counts=True)[1]) <= 12
+
+
 def test_span_edges(docs, edges, empty):
     rows = [tuple(r) for r in substring_dedup.dedup(edges).collect()]
     by = {r[0]: r for r in rows}
@@ -132,6 +181,8 @@ def test_span_edges(docs, edges, empty):
     assert substring_dedup.dedup(empty).count() == 0
     twice = substring_dedup.dedup(docs([(1, "z" * 80), (1, "z" * 80), (2, "z" * 80)]))
     assert sorted((r["doc_id"], r["n_removed"]) for r in twice.collect()) == [(1, 0), (1, 0), (2, 80)]
+    top = substring_dedup.dedup(docs([(2**63 - 1, "z" * 80), (None, "y" * 80), (4, "y" * 80)]))
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in top.collect()) == [("4", 0), (str(2**63 - 1), 0), ("None", 80)]
 
 
 def test_parse_in_pieces(monkeypatch):

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
-LOWER_HASH = BYTE_HASH.copy()
-LOWER_HASH[65:91] = BYTE_HASH[97:123]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -47,13 +46,44 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return have
 
 
-def prefix_hash(data: np.ndarray, table: np.ndarray = BYTE_HASH) -> np.ndarray:
+def prefix_hash(data: np.ndarray) -> np.ndarray:
     """P with P[e] - P[s] = B^s * hash(data[s:e]) modulo 2^64."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * powers(len(data))[: len(data)], out=out[1:])
+    np.cumsum(BYTE_HASH[data] * powers(len(data))[: len(data)], out=out[1:])
     return out
 
 
+#: Longer ranges are hashed one by one.
+LONG_RANGE = 512
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hash_ranges(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end].
+
+    Eight bytes at a time go through the finalizer and are added again under a key, so that it
+    is no polynomial of the bytes: no family of texts collides by its structure.
+    """
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) * GOLDEN + M2)
+    eight = np.ndarray(len(data) + 1, np.dtype("<u8"), data + bytes(8), strides=(1,))
+    at, key = np.flatnonzero((sizes > 0) & (sizes <= LONG_RANGE)), int(M1)
+    offset = 0
+    while len(at):
+        key = key * 0xD1342543DE82EF95 + 1 & (2**64 - 1)
+        left = sizes[at] - offset
+        x = eight[starts[at] + offset] & _KEEP[np.minimum(left, 8)]
+        out[at] = mix(out[at] ^ x) + x * np.uint64(key | 1)
+        offset += 8
+        at = at[left > 8]
+    for k in np.flatnonzero(sizes > LONG_RANGE):
+        out[k] ^= np.uint64(xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]], int(M1)))
+    return mix(out)
+
+
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+
+
 def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word [^\\x20\\x09-\\x0D]+ of one chunk, A-Z lower-cased."""
     b = np.frombuffer(data, np.uint8)
@@ -61,9 +91,7 @@ def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     edge = np.diff(IS_SPACE[b].view(np.int8), prepend=np.int8(1), append=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    p = prefix_hash(b, LOWER_HASH)
-    h = (p[ends] - p[starts]) * powers(len(b), True)[starts]
-    return mix(h), starts
+    return hash_ranges(data.translate(_LOWER), starts, ends), starts
 
 
 def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,14 +189,34 @@ def shared_folder(spark: SparkSession) -> str:
 _local: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: lineage ends there."""
+_cuts: list[list[str]] = []
+
+
+def cut(df: DataFrame, result: bool = False) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: lineage ends there.
+
+    Inside passing_cuts the table goes at its end; a result stays until that of the caller.
+    """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tideline-{uuid.uuid4().hex}"
+    if len(_cuts) > result:
+        _cuts[-1 - result].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Stands for a null doc_id inside an operator: such rows are one document, after all others.
+@contextlib.contextmanager
+def passing_cuts(spark: SparkSession):
+    """Deletes the tables that `cut` writes inside, but results; nothing lazy may read them later."""
+    _cuts.append([])
+    try:
+        yield
+    finally:
+        for name in _cuts.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Takes the place of a null doc_id in comparisons: such rows come after all others.
 NO_ID = 2**63 - 1
 
 
@@ -176,11 +224,6 @@ def known_id(name: str = "doc_id"):
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
 
-def own_id(column):
-    """The doc_id again, null where there was none."""
-    return F.nullif(column, F.lit(NO_ID))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

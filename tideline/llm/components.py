@@ -23,21 +23,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return tied.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of each node in links(a, b); component is its smallest node.
 
-    Each round is written to the shared folder. It ends once the edges stop to change.
+    Each round is written to the shared folder. It ends once the edges stop to change, which
+    they do after a number of rounds that grows with the logarithm of the nodes.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
-    for _ in range(max_rounds):
-        # a forest of stars has no node that is both a child and a parent
+    while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
         seen = mark
         edges = cut(_star(_star(edges, True), False))
-    else:
-        raise RuntimeError("components did not settle")
     stars = edges.groupBy("u").agg(F.min("v").alias("v"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

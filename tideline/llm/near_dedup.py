@@ -14,20 +14,23 @@ of other components and leave the bucket, until no bucket is mixed: no link is l
 choice of leaders. The join that lets them meet drops pairs that cannot reach the threshold
 by a bitmap of each set: an exact bound, so what it emits follows the links, not the pairs.
 
-Defined cases: null, empty or blank text has n_shingles 0 and is linked with nothing;
-repeated doc_ids share class and component; null doc_ids count as one document after all
-others, returned as null; other columns are ignored.
+Defined cases: null, empty or blank text has n_shingles 0 and is linked with nothing; rows that
+repeat a doc_id share a component, which holds whatever any of their texts is linked with; a row
+without doc_id is a document of its own, and its component_id is null unless a document with
+doc_id is in the component; texts of any length are taken whole; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import GOLDEN, blocks, cut, known_id, mix, own_id, shingle_hashes, small_batches, texts_of, word_hashes
+from tideline.llm.common import GOLDEN, blocks, cut, mix, passing_cuts, shingle_hashes, small_batches, texts_of, word_hashes
 from tideline.llm.components import connected_components
 from tideline.session import ship
 
@@ -109,15 +112,15 @@ def signatures(docs: DataFrame) -> DataFrame:
                 digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n_shingles", "set_id", "bands"])
 
-    return docs.select(known_id().alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles, bits): the sorted set as packed 64-bit hashes, and its bitmap."""
+    """(set_id, shingles, bits): the sorted set as packed 64-bit hashes, and its bitmap."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), texts_of(batch.column(1))
+            texts = texts_of(batch.column(0))
             for a, b in blocks(texts, 1 << 20):
                 sets = shingle_sets(texts[a:b])
                 marks = np.zeros((len(sets), 64 * BITMAP), np.uint8)
@@ -125,9 +128,10 @@ def sets_of(docs: DataFrame) -> DataFrame:
                     marks[k, (s % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
                 bits = np.packbits(marks, axis=1).view(np.int64)
                 offsets = pa.array(np.arange(0, bits.size + 1, BITMAP, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bits.ravel()))], ["doc_id", "shingles", "bits"])
+                packed = [s.tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in packed], pa.binary()), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bits.ravel()))], ["set_id", "shingles", "bits"])
 
-    return docs.select(known_id().alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles binary, bits array<long>")
+    return docs.select("text").mapInArrow(run, "set_id binary, shingles binary, bits array<long>")
 
 
 def _confirmed(pairs: DataFrame) -> DataFrame:
@@ -150,7 +154,7 @@ def _confirmed(pairs: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their full sets."""
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     return cut(_confirmed(pairs.join(left, "a").join(right, "b")))
 
 
@@ -195,24 +199,33 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 def group_near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs."""
-    ship(docs.sparkSession)
-    with small_batches(docs.sparkSession):
-        return _grouped(docs)
+    spark = docs.sparkSession
+    ship(spark)
+    with small_batches(spark), passing_cuts(spark):
+        return cut(_grouped(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), result=True)
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, set_id, group, component_id): group names a component, null without a set."""
     marks = cut(signatures(docs))
-    classes = marks.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    reps = marks.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands")
-    entries = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "h")).select("rep", "n_shingles", F.xxhash64("band", "h").alias("bucket"))
+    # equal sets are one node, whatever documents hold them
+    nodes = cut(marks.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    entries = nodes.select(F.col("node").alias("rep"), "n_shingles", F.posexplode("bands").alias("band", "h")).select("rep", "n_shingles", F.xxhash64("band", "h").alias("bucket"))
     leaders = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1").select("bucket", "leader")
     members = cut(entries.join(leaders, "bucket"))
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(sets_of(docs.select(known_id().alias("doc_id"), "text").join(involved, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
-    # first, each document meets the leader that it shares most buckets with
+    involved = cut(nodes.select("node", "set_id", "least").join(members.select(F.col("rep").alias("node")).distinct(), "node", "left_semi"))
+    # documents without doc_id pass with any that could be theirs; the sets decide
+    rank = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias("rank")
+    texts = docs.select(rank("doc_id"), "text").join(involved.select(rank("least")).distinct(), "rank", "left_semi")
+    sets = cut(sets_of(texts).join(involved.select("set_id", "node"), "set_id").select("node", "shingles", "bits").dropDuplicates(["node"]))
+    # texts under one doc_id are tied
+    held = marks.where("n_shingles > 0 AND doc_id IS NOT NULL").join(nodes.select("set_id", "node"), "set_id").select("doc_id", "node")
+    several = held.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("doc_id", "b")
+    ties = held.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    # first, each node meets the leader that it shares most buckets with
     best = members.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("b")).withColumnRenamed("rep", "a")
-    comp = _joined_components(None, _links(best, sets))
-    members = cut(_mixed(_labelled(members.drop("leader"), comp)).join(sets.select(F.col("doc_id").alias("rep"), *_words("bits")), "rep"))
+    comp = _joined_components(None, _links(best, sets).unionByName(ties))
+    members = cut(_mixed(_labelled(members.drop("leader"), comp)).join(sets.select(F.col("node").alias("rep"), *_words("bits")), "rep"))
     per_bucket = LEADERS
     while not members.isEmpty():
         # the next leaders meet the rest of their bucket and leave it
@@ -229,19 +242,44 @@ def _grouped(docs: DataFrame) -> DataFrame:
             rest = _labelled(rest, comp)
         members = cut(_mixed(rest))
         per_bucket *= LEADERS
-    labelled = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
-    full = marks.select("doc_id", "n_shingles", "set_id").join(labelled, "set_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = full.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    return cut(out.select(own_id(F.col("doc_id")).alias("doc_id"), "n_shingles", own_id(F.col("component_id")).alias("component_id"), "kept"))
+    labelled = nodes.select("set_id", "node", "least").join(comp, "node", "left").select("set_id", "least", F.coalesce("component", "node").alias("group"))
+    smallest = labelled.groupBy("group").agg(F.min("least").alias("component_id"))
+    full = marks.select("doc_id", "n_shingles", "set_id").join(labelled.join(smallest, "group").select("set_id", "group", "component_id"), "set_id", "left")
+    # rows without words belong to the other texts of their doc_id, if there are any
+    alone = full.where("n_shingles = 0").select("doc_id", "n_shingles", "set_id")
+    own = full.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("group").alias("group"), F.min("component_id").alias("component_id"))
+    blank = alone.join(own, "doc_id", "left").select("doc_id", "n_shingles", "set_id", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return full.where("n_shingles > 0").select(*blank.columns).unionByName(blank)
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """One document of each group: the one with the smallest doc_id; columns as in docs.
 
-    Rows that repeat a doc_id are one document, of which one row stays.
+    Rows that repeat a doc_id are one document, of which one row stays. Of a group without any
+    doc_id one row stays too; rows without doc_id and without words all stay.
     """
-    kept = group_near_duplicates(docs).where("kept").groupBy(known_id().alias("__tl_id")).agg(F.count("*").alias("__tl_n"))
-    rows = docs.withColumn("__tl_id", known_id()).join(kept, "__tl_id")
-    single, repeated = rows.where("__tl_n = 1"), rows.where("__tl_n > 1").dropDuplicates(["__tl_id"])
-    return single.unionByName(repeated).select(*docs.columns)
+    spark = docs.sparkSession
+    ship(spark)
+    with small_batches(spark), passing_cuts(spark):
+        grouped = cut(_grouped(docs))
+        kept = grouped.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__tl_id")).agg(F.count("*").alias("__tl_n"))
+        rows = docs.withColumn("__tl_id", F.col("doc_id").cast("long")).join(kept, "__tl_id")
+        single, repeated = rows.where("__tl_n = 1"), rows.where("__tl_n > 1").dropDuplicates(["__tl_id"])
+        out = single.unionByName(repeated).select(*docs.columns)
+        nameless = grouped.where("doc_id IS NULL AND component_id IS NULL")
+        if not nameless.isEmpty():
+            missing = docs.where("doc_id IS NULL")
+            marked = _set_ids(missing).join(nameless.select(F.col("set_id").alias("__tl_set"), F.col("group").alias("__tl_group")).distinct(), "__tl_set")
+            lone, tied = marked.where("__tl_group IS NULL"), marked.where("__tl_group IS NOT NULL").dropDuplicates(["__tl_group"])
+            out = out.unionByName(lone.unionByName(tied).select(*docs.columns))
+        return cut(out, result=True)
+
+
+def _set_ids(docs: DataFrame) -> DataFrame:
+    """docs with __tl_set, the digest of a text's set."""
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        return pd.Series([xxhash.xxh3_128_digest(shingle_sets([(t or "").encode()])[0].tobytes()) for t in texts], dtype=object)
+
+    return docs.withColumn("__tl_set", digest("text"))

@@ -22,18 +22,25 @@ windows never reach past their phrase.
    each, the window ranges that start in an earlier document.
 4. the groups turn both answers into removed bytes.
 
+A passage of between GRAM and SPAN bytes that many documents hold within different text gives
+one trigger a distinct phrase in each of them. A first pass finds such hot triggers; their
+windows become phrases of their own, triggered by a hash of all their bytes, so that they
+spread over all buckets and need no suffixes: equal ones are equal as a whole.
+
 Scale: groups are hashed by doc_id to about GROUP_BYTES each, so a hot passage is sent once
 by each group however many documents hold it, and no pairs are formed. Texts are shuffled
 once; that exchange is reused by all passes. Groups and buckets grow in number with the
-corpus, not in size, and a task holds one of them at a time; a single larger document is
-parsed in pieces. One lazy plan without cached state: a lost executor costs the recomputation
-of its partitions.
+corpus, not in size, but for 16 bytes a group for each phrase that all groups hold; a task
+holds one of them at a time; a single larger document is parsed in pieces. A lost executor
+costs the recomputation of its partitions.
 
 Phrase identity is 32 bits of the trigger, the bucket and 64 bits of the phrase's hash.
 
 Defined cases: null text is empty: nothing removed, sha256 of no bytes; text shorter than
 SPAN bytes is kept; rows of equal doc_id are one document number and never remove each other,
-and so are rows without doc_id, which come after all others; other columns are ignored.
+and so are rows without doc_id, which come after all others (a doc_id of 2^63 - 1 is level with
+them); texts of any length are taken whole; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -42,10 +49,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import CHUNK, known_id, mix, own_id, powers, prefix_hash, runs
+from tideline.llm.common import CHUNK, blocks, hash_ranges, known_id, mix, powers, prefix_hash, runs, texts_of
 from tideline.session import ship
 
 SPAN, GRAM = 50, 26
@@ -53,26 +61,27 @@ WINDOW = SPAN - GRAM + 1
 #: Text of a group of documents and of a task's groups, and the text whose phrases make a bucket.
 GROUP_BYTES, TASK_BYTES, BUCKET_BYTES = 4_000_000, 6_000_000, 12_000_000
 NONE = np.uint64(0)
-_BASE = int(powers(2)[1])
-_INVERSE = int(powers(2, True)[1])
+#: A trigger with more distinct phrases is hot, once a group holds LOCAL of them; at most MAX_HOT are.
+HOT_PHRASES, LOCAL, MAX_HOT = 20_000, 8, 500_000
 
 
 class Parse:
-    """Phrases of a list of documents: trigger, hash, first window, windows and document of each."""
+    """Phrases of a list of documents: trigger, hash, first window, windows and document of each.
+
+    Windows whose trigger is among `hot` (sorted) are triggered by a hash of their own bytes.
+    """
 
-    def __init__(self, docs: list[bytes]):
+    def __init__(self, docs: list[bytes], hot: np.ndarray | None = None):
         lengths = np.array([len(d) for d in docs], np.int64)
         self.data = b"".join(docs)
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
-        n = len(self.data)
-        windows = n - SPAN + 1
+        windows = len(self.data) - SPAN + 1
         if windows <= 0:
             self.trigger, self.hash, self.first, self.count, self.doc = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
             return
         buffer = np.frombuffer(self.data, np.uint8)
-        cuts, triggers, heads, tails = [], [], [], []
-        seam, base, last = 0, 1, None
+        cuts, triggers, last = [], [], None
         for at in range(0, windows, CHUNK):
             stop = min(windows, at + CHUNK)
             p = prefix_hash(buffer[at : stop + SPAN - 1])
@@ -83,6 +92,9 @@ class Parse:
                 low = np.minimum(low[:-step], low[step:])
                 width += step
             low |= np.uint64(1)  # 0 marks windows that cross documents
+            if hot is not None and len(hot):
+                k = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low)
+                low[k] = hash_ranges(self.data[at : stop + SPAN - 1], k, k + SPAN) | np.uint64(1)
             a, b = np.searchsorted(self.ends, at - SPAN, "right"), np.searchsorted(self.starts, stop, "left")
             for k in range(a, b):
                 low[max(0, self.ends[k] - SPAN + 1 - at) : max(0, min(stop, self.ends[k]) - at)] = NONE
@@ -94,27 +106,13 @@ class Parse:
             where = np.flatnonzero(new)
             cuts.append(where + at)
             triggers.append(low[where])
-            # prefix hash of the whole buffer at the phrase's start, and SPAN - 1 bytes on: where the previous ends
-            heads.append(p[where] * np.uint64(base) + np.uint64(seam))
-            tails.append(p[where + SPAN - 1] * np.uint64(base) + np.uint64(seam))
             last = low[-1]
-            seam = (seam + int(p[stop - at]) * base) % 2**64
-            base = base * pow(_BASE, stop - at, 2**64) % 2**64
-        # the end of the last phrase
-        p = prefix_hash(buffer[windows : windows + SPAN - 1])
-        end = np.uint64((seam + int(p[-1]) * base) % 2**64)
-        first, head, tail = np.concatenate(cuts), np.concatenate(heads), np.append(np.concatenate(tails)[1:], end)
+        first, trigger = np.concatenate(cuts), np.concatenate(triggers)
         count = np.diff(np.append(first, windows))
-        trigger = np.concatenate(triggers)
         valid = trigger != NONE
-        first, count, trigger, body = first[valid], count[valid], trigger[valid], (tail - head)[valid]
-        # B^-first from two tables of CHUNK powers
-        low_part, high_part = first % CHUNK, first // CHUNK
-        big = np.array([pow(_INVERSE, CHUNK * k, 2**64) for k in range(int(high_part.max(initial=0)) + 1)], np.uint64)
-        body = body * powers(CHUNK, True)[low_part] * big[high_part]
-        self.trigger, self.first, self.count = trigger, first, count
-        self.hash = mix(body + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.doc = np.searchsorted(self.ends, first, "right")
+        self.trigger, self.first, self.count = trigger[valid], first[valid], count[valid]
+        self.hash = hash_ranges(self.data, self.first, self.first + self.count + SPAN - 1)
+        self.doc = np.searchsorted(self.ends, self.first, "right")
 
     def bytes_of(self, k: int) -> bytes:
         return self.data[self.first[k] : self.first[k] + self.count[k] + SPAN - 1]
@@ -159,9 +157,31 @@ def texts_and_ids(pdf: pd.DataFrame) -> tuple[list[bytes], np.ndarray]:
     return [bytes(x) if x is not None else b"" for x in pdf["data"]], pdf["doc_id"].to_numpy(np.int64)
 
 
-def message_rows(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
+def hot_triggers(docs: DataFrame, total: int) -> np.ndarray:
+    """Sorted triggers with so many distinct phrases that one bucket should not hold them."""
+
+    def run(batches):
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            for a, b in blocks(texts, GROUP_BYTES):
+                parse = Parse(texts[a:b])
+                order = np.lexsort((parse.hash, parse.trigger))
+                t, h = parse.trigger[order], parse.hash[order]
+                new = np.ones(len(t), bool)
+                new[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
+                values, n = np.unique(t[new], return_counts=True)
+                many = n >= LOCAL
+                yield pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(n[many])], ["trigger", "n"])
+
+    limit = max(HOT_PHRASES, total // (WINDOW // 2) // MAX_HOT)
+    counted = docs.select("text").mapInArrow(run, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") > limit).select("trigger").toPandas()["trigger"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+
+def message_rows(pdf: pd.DataFrame, buckets: int, hot: np.ndarray) -> pd.DataFrame:
     docs, ids = texts_and_ids(pdf)
-    parse = Parse(docs)
+    parse = Parse(docs, hot)
     rep, _ = distinct(parse, ids, buckets)
     b = bucket_of(parse.trigger[rep], buckets)
     grp = int(pdf["grp"].iloc[0])
@@ -225,12 +245,12 @@ def answered(parse: Parse, ids: np.ndarray, buckets: int, answers: pd.DataFrame)
     return rep, entry, found
 
 
-def phrase_rows(left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.DataFrame:
+def phrase_rows(left: pd.DataFrame, right: pd.DataFrame, buckets: int, hot: np.ndarray) -> pd.DataFrame:
     """Step 3 for one group: bytes of the asked phrases, and the other answers passed on."""
     rows = []
     if len(left):
         docs, ids = texts_and_ids(left)
-        parse = Parse(docs) if (right["kind"] == 1).any() else None
+        parse = Parse(docs, hot) if (right["kind"] == 1).any() else None
         found = answered(parse, ids, buckets, right) if parse is not None else None
         for k, (grp, kind, bucket, positions, values) in enumerate(right[["grp", "kind", "bucket", "positions", "values"]].itertuples(index=False)):
             if kind == 0:
@@ -298,17 +318,17 @@ def suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+RESULT = "doc_id long, missing boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
 
-def removed_rows(left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.DataFrame:
+def removed_rows(left: pd.DataFrame, right: pd.DataFrame, buckets: int, hot: np.ndarray) -> pd.DataFrame:
     """Step 4 for one group."""
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+    columns = ["doc_id", "missing", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
     if not len(left):
         return pd.DataFrame([], columns=columns)
     docs, ids = texts_and_ids(left)
     ranges: list[tuple[np.ndarray, np.ndarray]] = []
-    parse = Parse(docs) if len(docs) else None
+    parse = Parse(docs, hot)
     rep, entry, found = answered(parse, ids, buckets, right)
     first = ids[parse.doc[rep]].copy() if len(rep) else np.zeros(0, np.int64)  # the group's own smallest doc_id of each phrase
     for k in np.flatnonzero(right["kind"].to_numpy() == 0):
@@ -332,12 +352,12 @@ def removed_rows(left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.Da
         np.add.at(depth, b, -1)
     gone = np.cumsum(depth[:-1]) > 0
     rows = []
-    for doc, data, s, e in zip(ids, docs, parse.starts, parse.ends, strict=True):
+    for doc, missing, data, s, e in zip(ids, left["missing"], docs, parse.starts, parse.ends, strict=True):
         g = gone[s:e]
         n = int(g.sum())
         edges = np.flatnonzero(np.diff(g.view(np.int8), prepend=np.int8(0), append=np.int8(0))) if n else np.zeros(0, np.int64)
         kept = np.frombuffer(data, np.uint8)[~g].tobytes() if n else data
-        rows.append((int(doc), len(data), n, len(edges) // 2, hashlib.sha256(kept).hexdigest(), [{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2], strict=True)]))
+        rows.append((int(doc), bool(missing), len(data), n, len(edges) // 2, hashlib.sha256(kept).hexdigest(), [{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2], strict=True)]))
     return pd.DataFrame(rows, columns=columns)
 
 
@@ -348,16 +368,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     groups = 1 + total // GROUP_BYTES
     # with about one and a half groups and half a bucket for each partition, few of them meet in one task
     tasks, buckets = int(1 + total // TASK_BYTES), int(1 + total // BUCKET_BYTES)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_triggers(docs, total))
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")
     grp = F.pmod(F.xxhash64(known_id()), F.lit(groups)).alias("grp")
-    left = docs.select(grp, known_id().alias("doc_id"), data).repartition(tasks, "grp")
+    left = docs.select(grp, known_id().alias("doc_id"), F.col("doc_id").isNull().alias("missing"), data).repartition(tasks, "grp")
 
-    messages = left.groupBy("grp").applyInPandas(lambda pdf: message_rows(pdf, buckets), MESSAGE)
+    messages = left.groupBy("grp").applyInPandas(lambda pdf: message_rows(pdf, buckets, hot.value), MESSAGE)
     answers = messages.repartition(2 * buckets, "bucket").groupBy("bucket").applyInPandas(dictionary, ANSWER)
-    asked = left.groupBy("grp").cogroup(answers.repartition(tasks, "grp").groupBy("grp")).applyInPandas(lambda a, b: phrase_rows(a, b, buckets), REQUEST)
+    asked = left.groupBy("grp").cogroup(answers.repartition(tasks, "grp").groupBy("grp")).applyInPandas(lambda a, b: phrase_rows(a, b, buckets, hot.value), REQUEST)
     final = asked.repartition(tasks + 2 * buckets, "kind", "key").groupBy("kind", "key").applyInPandas(suffixes, ANSWER)
-    out = left.groupBy("grp").cogroup(final.repartition(tasks, "grp").groupBy("grp")).applyInPandas(lambda a, b: removed_rows(a, b, buckets), RESULT)
-    return out.withColumn("doc_id", own_id(F.col("doc_id")))
+    out = left.groupBy("grp").cogroup(final.repartition(tasks, "grp").groupBy("grp")).applyInPandas(lambda a, b: removed_rows(a, b, buckets, hot.value), RESULT)
+    return out.withColumn("doc_id", F.when(~F.col("missing"), F.col("doc_id"))).drop("missing")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
