@@ -79,6 +79,20 @@ def test_quality_of_a_long_repetitive_text(docs):
     assert (got["n_words"], got["n_repeat_words"]) == (8000, measures(text)[4])
 
 
+def test_repeated_words_are_exact_under_colliding_hashes(docs, monkeypatch):
+    """With three bits of hash all windows meet; words decide."""
+    from pyspark.sql import functions as F
+
+    from tideline.llm import exprs
+
+    r = random.Random(11)
+    rows = [(k, " ".join(r.choice("abcdefg") for _ in range(r.randrange(60)))) for k in range(60)] + [(99, " ".join(f"u{k}" for k in range(400)))]
+    narrow = type("F", (), {**{n: staticmethod(getattr(F, n)) for n in dir(F) if callable(getattr(F, n))}, "xxhash64": staticmethod(lambda *c: F.shiftleft(F.pmod(F.xxhash64(*c), F.lit(8)), 60))})
+    monkeypatch.setattr(exprs, "F", narrow)
+    got = {x["doc_id"]: x["n"] for x in docs(rows).select("doc_id", exprs.repeated_words(exprs.words(F.col("text"))).alias("n")).collect()}
+    assert got == {i: measures(t)[4] for i, t in rows}
+
+
 def test_quality_edges(edges, empty):
     got = quality.quality(edges)
     assert got.count() == edges.count() and got.where("doc_id < 5 AND NOT base_failed").count() == 0
