@@ -13,14 +13,17 @@ dictionary of common code and identifiers, followed by the candidate's surroundi
 marginal cost is size(surroundings + candidate) - size(surroundings); a cost of MIN_NOVELTY
 bytes per character or more is reported, unless a base span overlaps it.
 
-Scale: one pass over the texts without any shuffle; memory is a batch and a few hundred bytes
-per candidate. Defined cases: null text is empty and has no span; rows with equal doc_id are
-scanned one by one; other columns are ignored.
+Scale: one pass over the texts without any shuffle, in time linear in the text; memory is a
+batch and a few hundred bytes per candidate. Defined cases: null text is empty and has no span;
+texts of any length are scanned whole; rows with equal doc_id are scanned one by one; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import re
 
 import pyarrow as pa
@@ -74,15 +77,30 @@ class Novelty:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    out, done = [], 0
-    taken = [(s, e) for s, _, e in base]
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), done)):
-            if m.start() - word.end() > REACH:
-                break
-            done = m.end()
-            if LETTER_DIGIT.match(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken) and novelty(text, m.start(), m.end()) >= MIN_NOVELTY:
-                out.append((m.start(), 3, m.end()))
+    """Words and candidates are each found once and walked together."""
+    out, done, k = [], 0, 0
+    words = list(SENSITIVE.finditer(text))
+    tokens = [m.span() for m in CANDIDATE.finditer(text)] if words else []
+    taken: list[tuple[int, int]] = []  # base spans, overlapping ones made one
+    for s, _, e in base:
+        if taken and s < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
+    for word in words:
+        while k < len(tokens) and tokens[k][1] <= max(word.end(), done):
+            k += 1
+        while k < len(tokens):
+            start, end = max(tokens[k][0], word.end(), done), tokens[k][1]
+            if end - start >= MIN_TOKEN:
+                if start - word.end() > REACH:
+                    break
+                done = end
+                near = bisect.bisect_right(taken, (start, math.inf)) - 1
+                clear = (near < 0 or taken[near][1] <= start) and (near + 1 == len(taken) or taken[near + 1][0] >= end)
+                if clear and LETTER_DIGIT.match(text, start, end) and novelty(text, start, end) >= MIN_NOVELTY:
+                    out.append((start, 3, end))
+            k += 1
     return out
 
 
