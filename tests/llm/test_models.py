@@ -1,7 +1,9 @@
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from tideline.llm import html_extract as h
@@ -48,15 +50,72 @@ def test_language_edges(docs, edges, empty):
     assert langid.identify(docs([(3, "1234 !?", "en"), (4, "words", "en"), (5, "more", "en")])).where("doc_id = 3").first()["lang_pred"] == "und"
 
 
-def test_counts_do_not_depend_on_pieces(monkeypatch):
-    import numpy as np
-
-    text = "Grüße an alle, 12 Bäume stehen im Wald. " * 40
-    one, many = np.zeros(1 << langid.BITS, np.int64), np.zeros(1 << langid.BITS, np.int64)
-    assert langid.counts_of(text, one)
-    monkeypatch.setattr(langid, "PIECE", 64)
-    assert langid.counts_of(text, many)
-    assert abs(one - many).sum() < 0.12 * one.sum()  # pieces overlap by two characters
+@pytest.mark.parametrize("piece", [1, 2, 3, 64, 1000])
+def test_counts_do_not_depend_on_pieces(monkeypatch, piece):
+    for text in ("Grüße an alle, 12 Bäume   stehen  im Wald. " * 40, "", " ", "a", "12", "ab  c", "1a", "ΑΣ ΟΔΟΣ 日本"):
+        one, many = np.zeros(1 << langid.BITS, np.int64), np.zeros(1 << langid.BITS, np.int64)
+        letters = langid.counts_of(text, one)
+        with monkeypatch.context() as m:
+            m.setattr(langid, "PIECE", piece)
+            assert langid.counts_of(text, many) == letters and (one == many).all()
+        words = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+        grams = max(0, len(f" {words} ")) if words else 1
+        assert one.sum() == sum(max(0, grams - n + 1) for n in langid.GRAMS)
+
+
+def plain_ftrl(rows, n_docs, df):
+    """The training by dicts and loops, coordinate by coordinate."""
+    langs = sorted({lang for lang, _, _ in rows})
+    idf = lambda f: math.log((1 + n_docs) / (1 + df[f])) + 1
+    data = []
+    for lang, at, n in rows:
+        x = {int(f): (1 + math.log(c)) * idf(int(f)) for f, c in zip(at, n, strict=True)}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        data.append((langs.index(lang), {**{f: v / norm for f, v in x.items()}, "bias": 1.0}))
+    z, g2 = {}, {}
+
+    def weight(f, k):
+        v = z.get((f, k), 0.0)
+        if abs(v) <= langid.L1:
+            return 0.0
+        return -(v - math.copysign(langid.L1, v)) / ((langid.BETA + math.sqrt(g2.get((f, k), 0.0))) / langid.ALPHA + langid.L2)
+
+    used = [d for i, d in enumerate(data) if i % 10 or len(data) < 50]
+    for _ in range(langid.EPOCHS):
+        for y, x in used:
+            w = {(f, k): weight(f, k) for f in x for k in range(len(langs))}
+            s = [sum(v * w[f, k] for f, v in x.items()) for k in range(len(langs))]
+            e = [math.exp(v - max(s)) for v in s]
+            for f, v in x.items():
+                for k in range(len(langs)):
+                    g = v * (e[k] / sum(e) - (k == y))
+                    before = g2.get((f, k), 0.0)
+                    z[f, k] = z.get((f, k), 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / langid.ALPHA * w[f, k]
+                    g2[f, k] = before + g * g
+    return langs, weight
+
+
+def test_training_matches_a_plain_version():
+    rows, df = [], np.zeros(1 << langid.BITS)
+    for _, text, lang, _ in language_rows(70, 5)[0]:
+        if lang:
+            at, n = langid.sparse(text)
+            rows.append((lang, at, n))
+            df[at] += 1
+    model = langid.fit(rows, len(rows), df)
+    langs, weight = plain_ftrl(rows, len(rows), df)
+    assert model.langs == langs
+    features = sorted({int(f) for _, at, _ in rows for f in at})
+    for k in range(len(langs)):
+        assert model.bias[k] == pytest.approx(weight("bias", k), abs=1e-9)
+        assert all(model.weights[f, k] == pytest.approx(weight(f, k), abs=1e-9) for f in features)
+    unseen = np.setdiff1d(np.arange(1 << langid.BITS), features)
+    assert not model.weights[unseen].any() and (model.weights[features] == 0).any()
+    losses = {}
+    for t in (model.temperature, 0.5 * model.temperature, 2 * model.temperature):
+        spared = [(langs.index(lang), model.logits(at, n)) for lang, at, n in rows[::10]]
+        losses[t] = -sum(math.log(max(1e-12, langid.softmax(z / t)[y])) for y, z in spared)
+    assert min(losses, key=losses.get) == model.temperature
 
 
 @pytest.fixture(scope="module")

@@ -7,13 +7,13 @@ a temperature is fitted on rows the weights have not seen.
 
 Training rows have a non-null lang and crc32(doc_id as text) mod 3 <> 1. Document frequencies
 count all of them, by partial sums per task. The weights are fitted on a bounded sample: of
-each language at most about SAMPLE_PER_LANG rows, those first in a hashed order, and at most
+each language at most about SAMPLE_PER_LANG rows, those first in a hashed order, and about
 SAMPLE_BYTES bytes of text in all. A prediction reads the text only.
 
-Scale: two passes over the texts, no shuffle of texts. What reaches the driver is bounded by
-the two parameters and by 2^BITS counts.
+Scale: two passes over the texts, no shuffle of texts. What reaches the driver are features,
+bounded by the two parameters and by 2^BITS a row, and 2^BITS counts.
 
-Defined cases: null text, or text without a letter, is `und` with score 0; without training
+Defined cases: texts of any length are taken whole; an empty table gives no rows; null text, or text without a letter, is `und` with score 0; without training
 rows every text is `und`; a row without doc_id is not held out, and never learned from; rows
 with equal doc_id are judged one by one; other columns are
 ignored.
@@ -46,18 +46,23 @@ def letter_table() -> np.ndarray:
     return _letters[0]
 
 
+#: Characters worked on at once; results do not depend on it.
 PIECE = 1 << 18
 
 
 def counts_of(text: str, out: np.ndarray) -> bool:
-    """Adds a text's n-gram counts to out; whether it has a letter. Works in pieces."""
-    table, letters, low = letter_table(), False, text.lower()
+    """Adds a text's n-gram counts to out; whether it has a letter.
+
+    A piece starts with the last characters of the one before, whose n-grams are not counted again.
+    """
+    table, letters, low = letter_table(), False, f" {text.lower()} "
+    held = np.zeros(0, np.uint32)
     for at in range(0, len(low), PIECE):
-        c = np.frombuffer((" " * (at == 0) + low[max(0, at - 2) if at else 0 : at + PIECE] + " ").encode("utf-32-le", "replace"), np.uint32)
-        c = table[c]
+        c = table[np.frombuffer(low[at : at + PIECE].encode("utf-32-le", "replace"), np.uint32)]
         letters = letters or bool((c != 32).any())
         # squeeze runs of spaces, so that digits and marks between words leave one
-        c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
+        before = np.concatenate([held[-1:] if len(held) else c[:1] * 0, c[:-1]])
+        c = np.concatenate([held, c[(c != 32) | (before != 32)]])
         h = np.zeros(len(c), np.uint32)
         for n in range(1, max(GRAMS) + 1):
             m = len(c) - n + 1
@@ -66,7 +71,9 @@ def counts_of(text: str, out: np.ndarray) -> bool:
             h = (h[:m] + c[n - 1 : n - 1 + m]) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
             if n in GRAMS:
-                out += np.bincount(((h + np.uint32(n)) * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS), minlength=1 << BITS)
+                new = h[max(0, len(held) - n + 1) :]
+                out += np.bincount(((new + np.uint32(n)) * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS), minlength=1 << BITS)
+        held = c[len(c) - min(len(c), max(GRAMS) - 1) :]
     return letters
 
 
@@ -108,8 +115,14 @@ def document_frequency(training: DataFrame) -> tuple[int, np.ndarray]:
     return n, df
 
 
-def sample(training: DataFrame) -> list[tuple[str, str]]:
-    """The bounded training sample, (lang, text), in a hashed order."""
+Example = tuple[str, np.ndarray, np.ndarray]
+
+
+def sample(training: DataFrame) -> list[Example]:
+    """The bounded training sample, (lang, features, counts), in a hashed order.
+
+    Texts become features where they lie: a row that reaches the driver has 2^BITS of them at most.
+    """
     sizes = {r["lang"]: (r["n"], r["bytes"]) for r in training.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
     expected = sum((b or 0) * min(1.0, SAMPLE_PER_LANG / n) for n, b in sizes.values())
     shrink = min(1.0, SAMPLE_BYTES / max(expected, 1))
@@ -118,8 +131,19 @@ def sample(training: DataFrame) -> list[tuple[str, str]]:
         return []
     limit = F.create_map(*[F.lit(x) for pair in shares for x in pair])[F.col("lang")]
     rank = (F.xxhash64(F.lit("langid"), "doc_id").bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
-    rows = training.withColumn("rank", rank).where(F.col("rank") < limit).select("rank", "lang", "text").collect()
-    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["rank"], r["text"]))]
+
+    def run(batches):
+        for batch in batches:
+            found = [sparse(t or "") for t in batch.column(2).to_pylist()]
+            keep = pa.array([f is not None for f in found])
+            found = [f for f in found if f is not None]
+            at, n = ([f[k].astype(t).tobytes() for f in found] for k, t in ((0, np.uint16), (1, np.uint32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["rank", "lang", "at", "n"])
+
+    drawn = training.withColumn("rank", rank).where(F.col("rank") < limit).select("rank", "lang", "text")
+    rows = drawn.mapInArrow(run, "rank double, lang string, at binary, n binary").collect()
+    ordered = sorted(rows, key=lambda r: (r["rank"], r["lang"], bytes(r["at"]), bytes(r["n"])))
+    return [(r["lang"], np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.uint32).astype(np.int64)) for r in ordered]
 
 
 class Model:
@@ -143,13 +167,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], n_docs: int, df: np.ndarray) -> Model:
+def fit(rows: list[Example], n_docs: int, df: np.ndarray) -> Model:
     """Follow-the-regularised-leader with elastic net; every tenth row calibrates the temperature."""
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    langs = sorted({lang for lang, _ in rows})
+    langs = sorted({lang for lang, _, _ in rows})
     number = {lang: k for k, lang in enumerate(langs)}
-    data = [(number[lang], f) for lang, text in rows if (f := sparse(text or ""))]
-    data = [(k, at, weigh(at, n, idf)) for k, (at, n) in data]
+    data = [(number[lang], at, weigh(at, n, idf)) for lang, at, n in rows]
     k = len(langs)
     z, g2 = np.zeros(((1 << BITS) + 1, k)), np.zeros(((1 << BITS) + 1, k))
 
