@@ -39,6 +39,45 @@ def test_novel_spans(docs):
     assert got[5]["n_assign"] == 1 and got[5]["n_novel"] == 0
 
 
+def plain_novel(text, novelty):
+    """The reported candidates by the rule itself: for each word, all that start within reach."""
+    covered = [False] * len(text)
+    for s, _, e in base(text):
+        covered[s:e] = [True] * (e - s)
+    out, done = [], 0
+    for word in secrets.SENSITIVE.finditer(text):
+        at = max(word.end(), done)
+        while (m := secrets.CANDIDATE.search(text, at)) and m.start() - word.end() <= secrets.REACH:
+            at = done = m.end()
+            if any(c in "0123456789" for c in m[0]) and any(c.isalpha() for c in m[0]) and not any(covered[m.start() : m.end()]):
+                near = (text[max(0, m.start() - secrets.AROUND) : m.start()] + text[m.end() : m.end() + secrets.AROUND]).encode()
+                if (novelty.size(near + m[0].encode()) - novelty.size(near)) / len(m[0]) >= secrets.MIN_NOVELTY:
+                    out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_novel_spans_match_the_rule():
+    r, novelty, found = random.Random(12), secrets.Novelty(), 0
+    key = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(r.randrange(10, 40)))
+    for _ in range(300):
+        parts = [r.choice([key(), key(), "token", "credential", "bearer ", "secret=", "word ", "0123456789abcdef01234567", "password: ", " " * 30, "plain_identifier_name_1", "\n", "é"]) for _ in range(r.randrange(1, 25))]
+        text = r.choice(["", " "]).join(parts)
+        got = secrets.novel_spans(text, secrets.base_spans(text), novelty)
+        assert got == plain_novel(text, novelty)
+        found += len(got)
+    assert found > 100
+
+
+def test_long_texts_are_scanned_in_linear_time():
+    import time
+
+    novelty = secrets.Novelty()
+    for text in ("token " * 500_000, "token secret " * 200_000 + "q7Zp0XvB3kLm9TtR2sWyA8dF", "token=abcdefgh " * 200_000 + "the credential q7Zp0XvB3kLm9TtR2sWyA8dF"):
+        start = time.perf_counter()
+        secrets.novel_spans(text, secrets.base_spans(text), novelty)
+        assert time.perf_counter() - start < 20
+
+
 def test_secret_edges(edges, empty):
     rows = secrets.scan(edges).collect()
     assert len(rows) == edges.count()
@@ -79,6 +118,23 @@ def test_leaks(docs, benchmark):
     assert decontam.clean(docs(rows), benchmark).count() == 20
 
 
+def test_repetitive_texts_do_not_multiply():
+    import time
+
+    import numpy as np
+
+    bench = decontam.Benchmark([(1, "a " * 300), (2, "a b " * 150), (3, " ".join(f"x{k}" for k in range(60)))])
+    words, counts = decontam.tokens([b"a " * 200_000, b"b a " * 50_000, " ".join(f"x{k}" for k in range(20, 50)).encode()])
+    start, ends = time.perf_counter(), np.cumsum(counts)
+    found = decontam.distinct_rows(np.concatenate([bench.hits(at, h, ends) for at, h in decontam.seeds(words, decontam.remaining(counts))]))
+    got = {}
+    for d, item in {(int(x[0]), int(x[1])) for x in found}:
+        shifts = found[(found[:, 0] == d) & (found[:, 1] == item), 2]
+        got[d, item] = bench.match(words, int(ends[d] - counts[d]), int(ends[d]), item, shifts)[2]
+    assert got == {(0, 0): 300, (1, 1): 300, (2, 2): 30}
+    assert time.perf_counter() - start < 60
+
+
 def test_leaks_in_blocks(docs, benchmark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 50)
     items = {i: t for i, t in benchmark.collect() if i is not None}
@@ -87,6 +143,13 @@ def test_leaks_in_blocks(docs, benchmark, monkeypatch):
     assert got[1]["items"] == [3] and got[2]["items"] == [11] and not got[3]["contaminated"]
 
 
+def test_leaks_of_rows_without_doc_id(docs, benchmark):
+    item = dict(benchmark.collect())[3]
+    table = docs([(None, item), (None, "clean words"), (2**63 - 1, "other words"), (4, item), (4, "clean too")])
+    assert sorted((str(r["doc_id"]), r["contaminated"]) for r in decontam.decontaminate(table, benchmark).collect()) == [("4", False), ("4", True), (str(2**63 - 1), False), ("None", False), ("None", True)]
+    assert sorted(r["text"] for r in decontam.clean(table, benchmark).collect()) == ["clean too", "clean words", "other words"]
+
+
 def test_leak_edges(edges, empty, benchmark):
     got = decontam.decontaminate(edges, benchmark)
     assert got.count() == edges.count() and got.where("contaminated").count() == 0
