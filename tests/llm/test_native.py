@@ -209,9 +209,11 @@ def test_surrogate_edges(edges, empty):
     assert pii.clean(empty).count() == 0 and pii.pseudonymize(empty).count() == 0
 
 
-def test_raked_marginals(docs):
+def test_raked_marginals(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-7)
     r = random.Random(8)
     rows = [(i, ("w | " if r.random() < 0.3 else "w v ") * r.randrange(1, 60), r.choice(["en", "en", "en", "de"]), r.choice(["big", "big", "big", "mid", "low"])) for i in range(600)]
+    rows = [(i, t + r.choice([" alpha", " beta beta", ""]) * (r.random() < 0.4), la, s) for i, t, la, s in rows]
     table = docs(rows)
     rates = mixing.cell_rates(mixing.measured(table)).collect()
     total = sum(c["tokens"] for c in rates)
@@ -226,9 +228,44 @@ def test_raked_marginals(docs):
     assert abs(sum(x["tokens"] * x["prob"] for x in got) / total - mixing.BUDGET) < 0.01
     assert abs(sum(x["tokens"] for x in got if x["sampled"]) / total - mixing.BUDGET) < 0.1
     mixed = mixing.mix(table)
+    named = mixing.mix(table.withColumnRenamed("rep", "PROB"))
+    assert named.columns[-2:] == ["PROB", "prob_"] and {x["PROB"] for x in named.collect()} == {"extra"}
     assert mixed.columns == [*table.columns, "prob"] and mixed.count() == sum(x["sampled"] for x in got)
 
 
+def test_raking_of_many_classes_to_given_targets(spark, monkeypatch):
+    """A hundred languages by a hundred topics, with targets of the caller; small probabilities stay."""
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-7)
+    r = random.Random(3)
+    rows = [(k, f"s{k % 7}", f"l{k % 100:02}", f"t{k // 100:02}", r.randrange(1, 500)) for k in range(10_000)]
+    rows.append((10_000, "s0", "l00", "rare", 1))
+    table = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long")
+    targets = {"lang": {f"l{k:02}": k + 1 for k in range(100)}, "topic": {**{f"t{k:02}": 100 - k for k in range(100)}, "rare": 1e-7}}
+    rates = mixing.cell_rates(table, targets).collect()
+    total = sum(c["tokens"] for c in rates)
+    for dim, weights in targets.items():
+        own = Counter()
+        for c in rates:
+            own[c[dim]] += c["tokens"] * c["rate"]
+        assert all(own[k] / total == pytest.approx(w / sum(weights.values()), rel=1e-5) for k, w in weights.items())
+    assert all(c["rate"] > 0 for c in rates)
+
+
+def test_contradicting_targets_are_reported(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_ROUNDS", 5)
+    table = spark.createDataFrame([(1, "a", "x", "t", 10), (2, "b", "y", "t", 10)], "doc_id long, source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="not met"):
+        mixing.cell_rates(table, {"source": {"a": 1, "b": 1}, "lang": {"x": 9, "y": 1}})
+    with pytest.raises(ValueError, match="no class"):
+        mixing.cell_rates(table, {"lang": {"z": 1}})
+
+
+def test_topics_are_counted_by_their_terms(docs):
+    rows = [(1, "The Market, the BANK and a price; one judge."), (2, "market court bank judge price loi"), (3, "market bank"), (4, "a|b|c | d |"), (5, "Musik! roman, gemälde"), (6, "HELLO THERE WORLD"), (7, "### $$$ word"), (8, ""), (9, None)]
+    found = {x["doc_id"]: x["topic"] for x in mixing.measured(docs(rows)).collect()}
+    assert found == {1: "economy", 2: "economy", 3: "general", 4: "table", 5: "arts", 6: "shouted", 7: "markup", 8: "empty", 9: "empty"}
+
+
 def test_mixing_edges(docs, edges, empty):
     got = mixing.probabilities(edges).collect()
     assert len(got) == edges.count() and all(0 <= x["prob"] <= 1 for x in got)

@@ -27,7 +27,7 @@ def op5_pii(spark, sf_dir):
 
 
 def op6_mixing(spark, sf_dir):
-    return mixing.probabilities(documents(spark, sf_dir))
+    return mixing.rounded(documents(spark, sf_dir))
 
 
 def op7_quality(spark, sf_dir):
