@@ -166,6 +166,48 @@ def test_licenses(docs):
     assert got[1]["best_score"] == 1.0 and got[4]["best_score"] == 0.0
 
 
+def test_whole_licences(docs):
+    """Every whole text is told by its name, alone, after a copyright line, and wrapped otherwise."""
+    import os
+
+    folder = os.path.join(os.path.dirname(licenses.__file__), "license_texts")
+    names = sorted(os.listdir(folder))
+    texts = [open(os.path.join(folder, n), encoding="utf-8").read() for n in names]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, "Copyright 2020 Jane Doe\n\n" + re.sub(r"\s+", " ", t).upper()) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(rows)).collect()}
+    for k, name in enumerate(names):
+        assert name.removesuffix(".txt") in got[k]["licenses"].split(",") and got[k]["best_score"] == 1.0
+        assert got[100 + k]["licenses"] == name.removesuffix(".txt")
+
+
+def plain_scan(text):
+    units = {*text.split("\n"), *re.split(r"\n[\x20\x09-\x0D]*\n", text), text}
+    found = []
+    for u in units:
+        b = set(licenses.bigrams(u))
+        scores = [(-2 * len(b & set(t)) / (len(b) + len(t)), name) for name, t in licenses.templates()] if b else []
+        best = min(scores, default=(0, ""))
+        if best[0] <= -licenses.THRESHOLD:
+            found.append(best)
+    return len(found), ",".join(sorted({n for _, n in found})), round(-min((s for s, _ in found), default=0.0), 6)
+
+
+def test_units_match_brute_force(docs):
+    r = random.Random(21)
+    lines = [t for _, t in licenses.TEMPLATES]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(r.randrange(1, 6)):
+            w = r.choice(lines).split()
+            for _ in range(r.randrange(len(w) // 4 + 1)):
+                w[r.randrange(len(w))] = r.choice(["x", "the", "license"])
+            parts.append(" ".join(w[r.randrange(3) :]))
+        rows.append((i, r.choice(["\n", "\n\n", " "]).join(parts)))
+    got = {x["doc_id"]: (x["n_units"], x["licenses"], x["best_score"]) for x in licenses.scan(docs(rows)).collect()}
+    assert got == {i: plain_scan(t) for i, t in rows}
+
+
 def test_license_edges(edges, empty):
     assert licenses.scan(edges).where("n_licenses = 0").count() == edges.count()
     assert licenses.scan(empty).count() == 0

@@ -3,16 +3,20 @@
 A document is compared by units: each line, each paragraph (lines up to a blank one) and the
 whole text. A unit is normalised (lower case; all but letters and digits become one space)
 and turned into its set of word bigrams. A template of a bigrams can reach THRESHOLD only
-with units of a*t/(2-t) to a*(2-t)/t bigrams; others are pruned before any set is compared.
+with units of a*t/(2-t) to a*(2-t)/t bigrams (t the threshold); others are pruned before any set is compared.
 The best template of each unit that reaches THRESHOLD counts, ties by the smaller name.
 
+Templates are short notices and file headers (TEMPLATES) and whole licences (license_texts/).
+
 Scale: one pass of built-in functions, no shuffle, no join. The templates are a constant.
-Defined cases: null text has no licence; rows with equal doc_id are scanned one by one; other
-columns are ignored.
+Defined cases: null text has no licence; texts of any length are compared whole; rows with equal
+doc_id are scanned one by one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 
 from pyspark.sql import DataFrame
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tideline.llm.exprs import let
 
-THRESHOLD = 0.8
+#: The threshold, also as a ratio, since sizes are compared in whole numbers.
+THRESHOLD, RATIO = 0.8, (4, 5)
 #: Wording of public licence notices, as published with the licences.
 TEMPLATES = [
     ("all-rights-reserved", "All rights reserved."),
@@ -28,7 +33,7 @@ TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("cc-by-4.0", "Licensed under CC BY 4.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -60,19 +65,31 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+@functools.cache
+def templates() -> list[tuple[str, list[str]]]:
+    """(name, bigrams) of the notices and of the whole licences beside this module."""
+    folder = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+    whole = []
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            whole.append((name.removesuffix(".txt"), f.read()))
+    return [(name, bigrams(text)) for name, text in TEMPLATES + whole]
+
+
 def _templates():
-    rows = [(name, bigrams(text)) for name, text in TEMPLATES]
-    return F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n")) for name, b in rows]), [len(b) for _, b in rows]
+    rows = templates()
+    held = lambda b: F.split(F.lit("|".join(b)), r"\|")  # noqa: E731  (a constant for the optimizer)
+    return F.array(*[F.struct(F.lit(name).alias("name"), held(b).alias("b"), F.lit(len(b)).alias("n")) for name, b in rows]), [len(b) for _, b in rows]
 
 
 def _best(unit, templates, sizes):
     """(score, name) of the best template of a unit, or null."""
-    t = THRESHOLD
-    low, high = min(sizes) * t / (2 - t), max(sizes) * (2 - t) / t
+    t, (p, q) = THRESHOLD, RATIO
+    low, high = -(-min(sizes) * p // (2 * q - p)), max(sizes) * (2 * q - p) // p
 
     def compare(b):
         n = F.size(b)
-        fit = F.filter(templates, lambda x: n.between(x["n"] * t / (2 - t), x["n"] * (2 - t) / t))
+        fit = F.filter(templates, lambda x: 2 * q * F.least(n, x["n"]) >= p * (n + x["n"]))
         scored = F.transform(fit, lambda x: F.struct((-2.0 * F.size(F.array_intersect(b, x["b"])) / (n + x["n"])).alias("score"), x["name"].alias("name")))
         return F.array_min(F.filter(scored, lambda s: s["score"] <= -t))
 
@@ -98,15 +115,15 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ",".join(f"({quote(name)}, [{','.join(map(quote, bigrams(text)))}])" for name, text in TEMPLATES)
-    t = THRESHOLD
+    rows = ",".join(f"({quote(name)}, string_split({quote('|'.join(b))}, '|'))" for name, b in templates())
+    t, (p, q) = THRESHOLD, RATIO
     return rf"""
 WITH tpl(name, b) AS (VALUES {rows}),
 u AS (SELECT doc_id, unnest(list_distinct(list_concat(list_concat(string_split(text, chr(10)), string_split_regex(text, '\n[\x20\x09-\x0D]*\n')), [text]))) AS u
       FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
 w AS (SELECT doc_id, u, string_split(trim(regexp_replace(lower(u), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM u),
-b AS (SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) BETWEEN 2 AND 400),
-s AS (SELECT doc_id, u, name, 2.0::DOUBLE * len(list_intersect(b.b, tpl.b)) / (len(b.b) + len(tpl.b)) AS score FROM b JOIN tpl ON len(b.b) BETWEEN len(tpl.b) * {t} / (2 - {t}) AND len(tpl.b) * (2 - {t}) / {t}),
+b AS (SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) >= 2),
+s AS (SELECT doc_id, u, name, 2.0::DOUBLE * len(list_intersect(b.b, tpl.b)) / (len(b.b) + len(tpl.b)) AS score FROM b JOIN tpl ON {2 * q} * least(len(b.b), len(tpl.b)) >= {p} * (len(b.b) + len(tpl.b))),
 best AS (SELECT doc_id, u, name, score FROM s WHERE score >= {t} QUALIFY row_number() OVER (PARTITION BY doc_id, u ORDER BY score DESC, name) = 1),
 a AS (SELECT doc_id, count(*) AS n_units, count(DISTINCT name) AS n_licenses, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, round(max(score), 6) AS best_score FROM best GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(best_score, 0.0::DOUBLE) AS best_score
