@@ -169,6 +169,60 @@ SITE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><scrip
 TEXT = "The title & more First paragraph with bold text here, long enough to be read as prose. Second one é é <tag>. After a break. point one of the list point two of the list"
 
 
+#: Pages written by hand, with their main text: an encyclopedia, a table layout, a newspaper, a blog.
+PAGES = {
+"wiki": ("""<!DOCTYPE html><html class="client-nojs"><head><meta charset="utf-8"><title>Lighthouse - Encyclopedia</title><link rel=stylesheet href=/w.css></head><body class="skin-vector ns-0">
+<div id="mw-head"><div id="p-personal"><ul><li><a href="/login">Log in</a></li><li><a href="/signup">Create account</a></li></ul></div></div>
+<div id="content" class="mw-body" role="main"><h1 id="firstHeading">Lighthouse</h1>
+<div id="bodyContent"><p>A <b>lighthouse</b> is a tower designed to emit light from a system of lamps and lenses, and to serve as a beacon for <a href="/wiki/Pilotage">navigational</a> aid for maritime pilots at sea.</p>
+<h2>History</h2><p>Before the development of clearly defined ports, mariners were guided by fires built on hilltops. Placing the fire on a platform improved its visibility.</p>
+<ul><li>The Pharos of Alexandria stood for more than a thousand years.</li><li>The Tower of Hercules is still in use today on the coast of Spain.</li></ul></div></div>
+<div id="mw-navigation"><div id="p-navigation" role="navigation"><h3>Navigation</h3><ul><li><a href="/">Main page</a></li><li><a href="/r">Random article</a></li></ul></div></div>
+<div id="footer" role="contentinfo"><ul><li>This page was last edited on 3 March 2020.</li><li><a href="/privacy">Privacy policy</a></li></ul></div></body></html>""",
+"Lighthouse A lighthouse is a tower designed to emit light from a system of lamps and lenses, and to serve as a beacon for navigational aid for maritime pilots at sea. History Before the development of clearly defined ports, mariners were guided by fires built on hilltops. Placing the fire on a platform improved its visibility. The Pharos of Alexandria stood for more than a thousand years. The Tower of Hercules is still in use today on the coast of Spain."),
+"table": ("""<html><head><title>My garden</title></head><body bgcolor=white><table width=100% cellpadding=4><tr><td colspan=2 class=header><h1>Green thumb site</h1></td></tr>
+<tr><td valign=top class=menu><a href=a.html>Home</a><br><a href=b.html>Roses</a><br><a href=c.html>Tools</a></td>
+<td valign=top class=content><h2>Growing tomatoes in pots</h2><p>Tomatoes need a pot of at least ten litres, good soil and six hours of sun every day. Water them in the morning &amp; never on the leaves.
+<p>Pinch out the side shoots once a week, and tie the main stem to a stick so that the wind does not break it.</td></tr>
+<tr><td colspan=2 class=footer>Copyright 2003 by the garden club. <a href=mail.html>Contact</a></td></tr></table></body></html>""",
+"Growing tomatoes in pots Tomatoes need a pot of at least ten litres, good soil and six hours of sun every day. Water them in the morning & never on the leaves. Pinch out the side shoots once a week, and tie the main stem to a stick so that the wind does not break it."),
+"news": ("""<html lang=de><head><title>Zeitung</title><script async src=//cdn.example.com/>var leaked = 1;</script></head><body><div class="c-page"><div class="c-header__navigation"><ul class="c-nav"><li class="c-nav__item"><a href="/politik">Politik</a></li><li class="c-nav__item"><a href="/sport">Sport</a></li></ul></div>
+<div class="c-article"><div class="c-article__header"><h1 class="c-article__title">Neue Brücke über den Fluss eröffnet</h1></div><div class="c-article__body"><p class="c-article__text">Nach drei Jahren Bauzeit ist am Montag die neue Brücke für den Verkehr freigegeben worden. Hunderte Bürger kamen zur Feier.</p>
+<div class="c-anzeige werbung">Anzeige: Jetzt günstig Strom wechseln und hundert Euro sparen!</div>
+<p class="c-article__text">Der Bürgermeister sprach von einem guten Tag für die Stadt, die lange auf diesen Moment gewartet habe.</p></div></div>
+<div class="c-kommentare kommentare"><h3>Kommentare</h3><div class="kommentar"><p>Endlich fertig, das hat ja auch wirklich lange genug gedauert.</p></div></div>
+<div class="c-footer fusszeile"><a href="/impressum">Impressum</a> <a href="/agb">AGB</a></div></div></body></html>""",
+"Neue Brücke über den Fluss eröffnet Nach drei Jahren Bauzeit ist am Montag die neue Brücke für den Verkehr freigegeben worden. Hunderte Bürger kamen zur Feier. Der Bürgermeister sprach von einem guten Tag für die Stadt, die lange auf diesen Moment gewartet habe."),
+"blog": ("""<!doctype html><html><head><title>x</title></head><body><div id="wrapper"><div id="header"><h1><a href="/">Notes from the attic</a></h1><p class="tagline">A blog about old radios</p></div>
+<div id="cookie-notice">This site uses cookies to improve your experience. <a href="/c">Learn more</a> <button>OK</button></div>
+<div class="post hentry"><h2 class="entry-title">Repairing a valve amplifier</h2><div class="entry-content"><p>The amplifier came from a flea market and hummed loudly, so I replaced both filter capacitors first.</p><pre>R1 = 47k
+C1 = 32 uF</pre><blockquote>Never work on a powered chassis with two hands.</blockquote><video src=a.webm>A short film of the glowing valves.</video><p>After that the hum was gone.</p></div>
+<div class="sharing"><ul><li><a href="/t">Share</a></li><li><a href="/m">Mail</a></li></ul></div></div>
+<div id="comments" class="comments-area"><h3>2 responses</h3><ol class="commentlist"><li class="comment"><p>Great work, I had the same trouble with mine last year.</p></li><li class="comment"><p>Which capacitors did you use for this?</p></li></ol><form id="respond"><label>Your comment</label><textarea>type here</textarea></form></div>
+<div id="sidebar"><div class="widget"><h3>Archives</h3><ul><li><a href="/1">May</a></li><li><a href="/2">June</a></li></ul></div></div><div id="footer">Powered by an old server</div></div></body></html>""",
+"Repairing a valve amplifier The amplifier came from a flea market and hummed loudly, so I replaced both filter capacitors first. R1 = 47k C1 = 32 uF Never work on a powered chassis with two hands. A short film of the glowing valves. After that the hum was gone."),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PAGES))
+def test_pages_that_no_grammar_made(model, name):
+    page, text = PAGES[name]
+    assert h.main_text(page, model) == text
+
+
+def test_raw_elements_and_fallbacks(model):
+    page, text = PAGES["blog"]
+    put = lambda extra: h.main_text(page.replace("<pre>", extra + "<pre>"), model)
+    before, after = text.split(" R1 = ")
+    with_it = lambda words: f"{before} {words} R1 = {after}"
+    assert put('<script src=//cdn.example.com/>var leaked = 1;</script>') == text == put('<script src="a.js"/>var leaked;</script>') == put("<style/>p{}</style>")
+    assert put("<svg class=icon/>drawn</svg>") == text == put('<svg width="1"><text>drawn</text></svg>')
+    assert put('<p>shown <svg width="1"/>here, in a sentence long enough to be prose.</p>') == with_it("shown here, in a sentence long enough to be prose.")
+    for tag in ("object", "audio", "canvas", "noscript", "template"):
+        assert put(f"<p>A sentence that goes on <{tag}>with a fallback</{tag}> and then ends in a dot.</p>") == with_it("A sentence that goes on with a fallback and then ends in a dot.")
+    assert put("<p>A sentence that goes on with <xmp>x < y &amp; z</xmp> and then ends in a dot.</p>") == with_it("A sentence that goes on with x < y &amp; z and then ends in a dot.")
+
+
 def test_page(spark):
     pages = spark.createDataFrame([(1, "u1", SITE, 0), (2, None, None, 0), (3, "u3", "", 0), (3, "u3", "<p>a < b", 0), (4, "u", SITE.replace("</body></html>", "")[:-30], 0), (5, "u5", "<" * 3000 + "<p " * 2000, 0)], "page_id long, url string, html string, text int")
     rows = h.extract(pages).collect()

@@ -11,11 +11,14 @@ expected feature counts, the latter by the same message passing. The pages come
 html_pages, a bounded number of them (N_TRAIN), with a fixed seed.
 
 Output: character references decoded, white space inside a block made one space, trimmed,
-blocks in page order joined by one space. Scripts, styles and other raw text never count.
+blocks in page order joined by one space. Dropped with their content are scripts, styles, frames,
+drawings (svg), text fields and the title; formulas and what object, video, canvas, noscript and
+the like hold count as text of the block around them.
 
 Scale: one pass over the pages without any shuffle; the model (some hundred weights) is
-broadcast. Defined cases: null html is empty; a page without an article gives '' and 0;
-rows with equal page_id are extracted one by one; other columns are ignored.
+broadcast. Defined cases: null html is empty; a page without an article gives '' and 0; pages of
+any length are taken whole; rows with equal page_id are extracted one by one; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,21 +35,25 @@ from pyspark.sql import functions as F
 from tideline.llm.html_pages import labelled_pages
 from tideline.session import ship
 
-N_TRAIN, EPOCHS, RATE, SHRINK, SEED = 1200, 10, 0.3, 1e-5, 7
+N_TRAIN, EPOCHS, RATE, SHRINK, SEED = 500, 4, 0.3, 1e-5, 7
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 UNFINISHED = re.compile(r"</?[a-zA-Z]|<[!?]")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-y|hidden|aria-hidden)(?=[\s=/]|$)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "video", "audio", "canvas", "xmp", "noembed", "noframes", "textarea", "title"}
+#: Elements dropped with their content; of the first ones no end tag means up to the end of the page.
+RAW = {"script", "style", "iframe", "svg", "noembed", "noframes", "textarea", "title"}
+#: A slash at the end of a tag that is no part of a value without quotes.
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$|^[^=]*/\s*$|\s[^\s=]+/\s*$""")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "mspace", "mprescripts", "malignmark", "maligngroup", "mglyph", "none"}
 BREAKS = {"br", "hr"}
 #: A formula is part of the text around it.
 MATH = {"math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "mfenced", "menclose", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mtable", "mtr", "mlabeledtr", "mtd", "maction", "semantics", "annotation", "annotation-xml"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input"} | MATH
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input"} | MATH | {"object", "video", "audio", "canvas", "noscript", "template"}
 #: Start tags that end an open element of the listed kinds, up to the nearest boundary.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 BOUNDARY = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}}
 P_BOUNDARY = {"button", "td", "th", "caption", "object", "html", "body", "table"}
-WORD = re.compile(r"[a-z]+")
+#: Names of one letter are prefixes without a meaning.
+WORD = re.compile(r"[a-z]{2,}")
 
 
 class Block:
@@ -102,12 +109,17 @@ def blocks_of(page: str, labelled: bool = True) -> tuple[list[Block], list[tuple
                 pieces.append((stack[-1][1], " "))
             continue
         if tag in RAW:
-            if not attrs.rstrip().endswith("/") and tag not in endless:
+            if not (tag == "svg" and SELF_CLOSED.search(attrs)) and tag not in endless:
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 if stop is None:
                     endless.add(tag)
                 at = stop.end() if stop else (end if tag in ("script", "style") else at)
             continue
+        if tag == "xmp":  # shown as it stands
+            stop = re.compile(r"</xmp\s*>", re.I).search(page, at)
+            put(f" {html.escape(page[at : stop.start() if stop else end])} ")
+            at = stop.end() if stop else end
+            continue
         if tag in VOID:
             if tag in BREAKS:
                 pieces.append((stack[-1][1], " "))
@@ -175,16 +187,19 @@ class Tree:
     """Exact inference on a page's blocks, states 0 and 1."""
 
     def __init__(self, nodes: list[Block], weights: dict[str, float], pairs: dict[str, list[float]]):
-        n = len(nodes)
-        self.unary = [0.0] * n
-        zero = [0.0, 0.0, 0.0, 0.0]
         self.names = [features(b, nodes[b.parent] if b.parent >= 0 else None) for b in nodes]
         self.keys = [pair_keys(b, nodes[b.parent]) for b in nodes]
-        for k in range(n):
-            self.unary[k] = sum(weights.get(f, 0.0) for f in self.names[k])
-        found = ([pairs.get(key, zero) for key in keys] for keys in self.keys)
-        self.pair = [[a + b + c + d for a, b, c, d in zip(*four, strict=True)] for four in found]
         self.parent = [b.parent for b in nodes]
+        self.weigh(weights, pairs)
+
+    def weigh(self, weights: dict[str, float], pairs: dict[str, list[float]]) -> None:
+        """Sets the potentials from weights."""
+        zero = (0.0, 0.0, 0.0, 0.0)
+        self.unary = [sum([weights.get(f, 0.0) for f in names]) for names in self.names]
+        self.pair = []
+        for k1, k2, k3, k4 in self.keys:
+            a, b, c, d = pairs.get(k1, zero), pairs.get(k2, zero), pairs.get(k3, zero), pairs.get(k4, zero)
+            self.pair.append((a[0] + b[0] + c[0] + d[0], a[1] + b[1] + c[1] + d[1], a[2] + b[2] + c[2] + d[2], a[3] + b[3] + c[3] + d[3]))
 
     def run(self) -> None:
         """Messages are log-odds free: normalised pairs for states 0 and 1."""
@@ -250,10 +265,10 @@ def train(pages: list[str]) -> Model:
         seen[key] = seen.get(key, 1e-6) + g * g
         return (old + RATE * g / math.sqrt(seen[key])) * (1 - SHRINK)
 
-    data = [(nodes, truth(nodes)) for nodes in (blocks_of(p)[0] for p in pages)]
+    data = [(nodes, truth(nodes), Tree(nodes, weights, pairs)) for nodes in (blocks_of(p)[0] for p in pages)]
     for _ in range(EPOCHS):
-        for nodes, y in data:
-            tree = Tree(nodes, weights, pairs)
+        for nodes, y, tree in data:
+            tree.weigh(weights, pairs)
             tree.run()
             grad: dict[str, float] = {}
             pair_grad: dict[str, list[float]] = {}
@@ -263,10 +278,14 @@ def train(pages: list[str]) -> Model:
                     grad[f] = grad.get(f, 0.0) + g
                 if k:
                     e = tree.pair_marginals(k)
-                    e = [-x for x in e]
-                    e[2 * y[b.parent] + y[k]] += 1
+                    e[2 * y[b.parent] + y[k]] -= 1
                     for key in tree.keys[k]:
-                        pair_grad[key] = [x + z for x, z in zip(pair_grad.get(key, [0.0] * 4), e, strict=True)]
+                        sums = pair_grad.get(key)
+                        if sums is None:
+                            pair_grad[key] = [-x for x in e]
+                        else:
+                            for i in range(4):
+                                sums[i] -= e[i]
             for f, g in grad.items():
                 weights[f] = step(f, weights.get(f, 0.0), g)
             for key, g in pair_grad.items():

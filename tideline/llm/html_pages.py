@@ -1,6 +1,8 @@
-"""Labelled pages that train the extraction model: generated from a seed, by a small grammar.
+"""Labelled pages that train the extraction model: generated from a seed, by several grammars.
 
-Every element that bears text carries data-y: 1 for the article, 0 for everything else.
+Grammar builds pages of semantic elements and English class names; Layouts builds what else is
+common: ARIA roles, block__element names, names in other languages, tables as layout, pages of
+nothing but div elements, and link lists without any name. Every element that bears text carries data-y: 1 for the article, 0 for everything else.
 """
 
 from __future__ import annotations
@@ -124,5 +126,115 @@ class Grammar:
         return f"<html><head><title>{self.words(2, 5)}</title><script>var x = '<p>';</script></head><body>{inner}</body></html>"
 
 
+#: Names in German, French and Spanish, by the role of the element.
+FOREIGN = {
+    "menu": ["navigation", "menue", "hauptmenue", "navigationsleiste", "menu-principal", "fil-ariane", "navegacion", "brotkrumen"],
+    "header": ["kopfzeile", "kopf", "entete", "cabecera", "seitenkopf"],
+    "footer": ["fusszeile", "fuss", "pied", "pied-de-page", "impressum", "pie", "mentions-legales"],
+    "sidebar": ["seitenleiste", "rechts", "links", "marginale", "colonne", "lateral", "barra-lateral", "verwandte", "meistgelesen"],
+    "notice": ["hinweis", "cookie-hinweis", "meldung", "bandeau", "aviso", "datenschutz"],
+    "advert": ["werbung", "anzeige", "publicite", "pub", "publicidad", "anuncio", "sponsorise"],
+    "form": ["suche", "anmeldung", "recherche", "formulaire", "buscar", "formular"],
+    "comments": ["kommentare", "kommentar", "leserbriefe", "commentaires", "commentaire", "comentarios", "antworten"],
+    "share": ["teilen", "partager", "compartir", "soziale"],
+}
+FOREIGN_CONTENT = ["inhalt", "artikel", "beitrag", "haupttext", "contenu", "corps", "texte", "contenido", "articulo", "cuerpo", "hauptspalte"]
+#: Names of elements inside an article.
+PARTS = {
+    "title": ["title", "headline", "heading", "titel", "titre", "titulo", "subtitle", "header"],
+    "lead": ["lead", "intro", "summary", "teaser", "excerpt", "standfirst", "vorspann", "chapo"],
+    "head": ["header", "head", "top", "intro", "kopf"],
+    "text": ["text", "paragraph", "para", "p", "copy", "body", "absatz", "texte"],
+    "body": ["body", "content", "text", "inner", "main", "wrapper"],
+}
+ARIA = {"menu": "navigation", "header": "banner", "footer": "contentinfo", "sidebar": "complementary", "form": "search", "notice": "alert"}
+
+
+class Layouts(Grammar):
+    """Pages without the semantic elements that Grammar has."""
+
+    def __init__(self, seed: int):
+        super().__init__(seed)
+        self.style = self.r.choice(["aria", "bem", "foreign", "table", "plain", "wiki"])
+
+    def attr(self, role: str) -> str:
+        r = self.r
+        if self.style == "aria" and (role in ARIA or role == "content") and r.random() < 0.7:
+            return f' role="{ARIA.get(role, r.choice(["main", "article"]))}"'
+        if self.style == "foreign":
+            return f' {r.choice(["class", "id"])}="{r.choice(FOREIGN_CONTENT if role == "content" else FOREIGN[role])}"'
+        if self.style == "bem":
+            return f' class="{r.choice(["c", "o", "l", "site", "js", "u"])}-{r.choice(CONTENT if role == "content" else ROLES[role])}{r.choice(["", "__inner", "__body", "--wide", "__item"])}"'
+        return super().attr(role)
+
+    def boiler(self, role: str) -> str:
+        r = self.r
+        if self.style in ("plain", "table", "wiki") and role in ("menu", "footer", "sidebar", "share") and r.random() < 0.5:
+            links = [f'<a href="/{i}">{self.words(1, 3)}</a>' for i in range(r.randint(3, 9))]
+            return r.choice([f'<div data-y="0">{" ".join(links)}</div>', f'<p data-y="0">{" | ".join(links)}</p>', "<ul>" + "".join(f'<li data-y="0">{x}</li>' for x in links) + "</ul>"])
+        return super().boiler(role)
+
+    def part(self, kind: str) -> str:
+        """Class of an element inside the article."""
+        r = self.r
+        if not self.named:
+            return ""
+        name = r.choice(PARTS[kind])
+        if self.style == "bem":
+            return f' class="{self.prefix}{self.block}__{name}{r.choice(["", "", " " + name + "--first"])}"'
+        return f' class="{r.choice(["entry-", "article-", "post-", "", ""])}{name}"' if r.random() < 0.7 else ""
+
+    def article(self, insets: list[str]) -> str:
+        r, end = self.r, self.r.choice(["</p>", "</p>", ""])
+        self.named, self.prefix, self.block = r.random() < 0.5 or self.style == "bem", r.choice(["", "c-", "o-"]), r.choice(CONTENT)
+        out = []
+        if r.random() < 0.8:
+            title = f'<h1{self.part("title")} data-y="1">{self.words(2, 8)}</h1>'
+            lead = f'<p{self.part("lead")} data-y="1">{self.prose(1, 2)}</p>' if r.random() < 0.3 else ""
+            out.append(f'<{(t := r.choice(["header", "div"]))}{self.part("head")}>{title}{lead}</{t}>' if r.random() < 0.4 else title + lead)
+        for _ in range(r.randint(2, 10)):
+            x = r.random()
+            if self.style == "plain" and x < 0.3:
+                out.append(f'<div data-y="1">{self.prose(1, 5)}</div>')
+            elif x < 0.75:
+                out.append(f'<p{self.part("text")} data-y="1">{self.prose()}{end}')
+            elif x < 0.85:
+                out.append(f'<h2{self.part("title")} data-y="1">{self.words(1, 5)}</h2>')
+            elif x < 0.93:
+                out.append("<ul>" + "".join(f'<li data-y="1">{self.sentence()}</li>' for _ in range(r.randint(2, 5))) + "</ul>")
+            else:
+                out.append(f'<dl><dt data-y="1">{self.words(1, 3)}</dt><dd data-y="1">{self.sentence()}</dd></dl>')
+        for inset in insets:
+            out.insert(r.randint(1, len(out)), inset)
+        body = "".join(out)
+        if self.style == "bem" and r.random() < 0.6:
+            body = f'<div class="{self.prefix}{self.block}__{r.choice(PARTS["body"])}">{body}</div>'
+            return f'<{(t := r.choice(["div", "div", "article", "section"]))} class="{self.prefix}{self.block}">{body}</{t}>'
+        return f'<div{self.attr("content") if self.style in ("aria", "bem", "foreign", "wiki") else r.choice(["", self.attr("content")])}>{body}</div>'
+
+    def page(self) -> str:
+        if self.style != "table":
+            return super().page()
+        r = self.r
+        side = "".join(self.boiler(r.choice(["menu", "sidebar", "form", "advert"])) for _ in range(r.randint(1, 3)))
+        insets = [self.boiler("advert")] if r.random() < 0.3 else []
+        named = r.random() < 0.5
+        cell = lambda role, inner: f'<td valign="top"{self.attr(role) if named else ""}{r.choice(["", " width=200"])}>{inner}</td>'
+        article = self.article(insets)
+        if r.random() < 0.5:  # without an element around it
+            article = article[article.index(">") + 1 : article.rindex("<")]
+        if r.random() < 0.3:
+            side = "<br>".join(f'<a href="/{i}">{self.words(1, 3)}</a>' for i in range(r.randint(3, 9)))
+        cells = [cell("menu", side), cell("content", article)]
+        if r.random() < 0.3:
+            cells.reverse()
+        last = r.choice(["footer", "comments"])
+        top = self.boiler("header") if r.random() < 0.5 else r.choice([f'<h1 data-y="0">{self.words(1, 4)}</h1>', self.words(1, 4)])
+        bottom = self.boiler(last) if r.random() < 0.5 else f'{self.sentence()} <a href="/m">{self.words(1, 2)}</a>'
+        rows = [f"<tr>{cell('header', top)}</tr>", f"<tr>{''.join(cells)}</tr>", f"<tr>{cell(last, bottom)}</tr>"]
+        return f"<html><head><title>{self.words(2, 5)}</title></head><body><table>{''.join(rows[r.random() < 0.2 :])}</table></body></html>"
+
+
 def labelled_pages(count: int, seed: int) -> list[str]:
-    return [Grammar(seed * 100_003 + k).page() for k in range(count)]
+    """Of five pages two are by Layouts."""
+    return [(Layouts if k % 5 in (1, 3) else Grammar)(seed * 100_003 + k).page() for k in range(count)]
