@@ -50,3 +50,43 @@ def test_key_filter_reaches_the_scan(spark, tmp_path, sf_dir):
     assert "EqualTo(key,user:000001)" in plan
     keys = resolve.keys(log)._jdf.queryExecution().executedPlan().toString()
     assert "value" not in keys.split("ReadSchema")[1]
+
+
+def test_seek_many_against_sorted_keys(spark):
+    import bisect
+    import random
+
+    from tideline.operators import resolve
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcé\U00010000￿") for _ in range(r.randrange(6)))
+    log = [(word(), k, r.choice([1, 1, 2]), "v") for k in range(600)]
+    newest = {k: op for k, _, op, _ in log}
+    live = sorted((k.encode() for k, op in newest.items() if op == 1))
+    targets = {word() for _ in range(300)}
+    got = resolve.seek_many(spark.createDataFrame(log, "key string, seq long, op int, value string"), spark.createDataFrame([(t,) for t in targets], "target string"))
+    want = {t: (live[at].decode() if (at := bisect.bisect_left(live, t.encode())) < len(live) else None) for t in targets}
+    assert {x["target"]: x["key"] for x in got.collect()} == want
+    nothing = resolve.seek_many(spark.createDataFrame([], "key string, seq long, op int, value string"), spark.createDataFrame([("a",)], "target string"))
+    assert [tuple(x) for x in nothing.collect()] == [("a", None)]
+
+
+def test_overlaps_and_existence_against_brute_force(spark, monkeypatch):
+    import random
+
+    from tideline.operators import compaction, resolve
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(1, 5)))
+    runs = [(k, *sorted((word(), word()))) for k in range(120)]
+    got = {tuple(x) for x in compaction.overlapping_runs(spark.createDataFrame(runs, "run int, lo string, hi string")).collect()}
+    assert got == {(a, b) for a, lo, hi in runs for b, lo2, hi2 in runs if a < b and lo <= hi2 and lo2 <= hi}
+    monkeypatch.setattr(resolve, "STRETCH", 16)
+    log, live, want = [], {}, set()
+    for seq in range(500):
+        key, op = r.choice("aaaaaaab") + str(r.randrange(2)), r.choice([1, 2])
+        log.append((key, seq, op))
+        if op == 2:
+            want.add((key, seq, live.get(key, False)))
+        live[key] = op == 1
+    assert {tuple(x) for x in resolve.delete_existed(spark.createDataFrame(log, "key string, seq long, op int")).collect()} == want

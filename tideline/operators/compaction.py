@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.records import level_capacity, record_size
-from tideline.operators.resolve import SET, latest
+from tideline.operators.resolve import MAX_RANGES, SET, latest, range_bounds, range_number
 from tideline.options import Options
 
 
@@ -85,6 +85,14 @@ def file_metadata(log: DataFrame, run: str = "run") -> DataFrame:
 
 
 def overlapping_runs(meta: DataFrame) -> DataFrame:
-    """(a, b): pairs of runs whose closed key intervals overlap; meta holds one row per file."""
-    a, b = meta.alias("a"), meta.alias("b")
-    return a.join(b, (F.col("a.run") < F.col("b.run")) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi"))).select(F.col("a.run").alias("a"), F.col("b.run").alias("b"))
+    """(a, b): pairs of runs whose closed key intervals overlap; meta holds one row per file.
+
+    Intervals are put into each key range that they reach and meet within a range by an equi-join.
+    A pair counts in the range where the later of the two begins, hence once.
+    """
+    bounds = range_bounds(meta.select("lo"), MAX_RANGES)
+    first, last = range_number(F.col("lo"), bounds), range_number(F.greatest("lo", "hi"), bounds)
+    placed = meta.select("run", "lo", "hi", first.alias("first"), F.explode(F.sequence(first, last)).alias("place"))
+    a, b = placed.alias("a"), placed.alias("b")
+    meets = (F.col("a.place") == F.col("b.place")) & (F.col("a.run") < F.col("b.run")) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi"))
+    return a.join(b, meets & (F.col("a.place") == F.greatest("a.first", "b.first"))).select(F.col("a.run").alias("a"), F.col("b.run").alias("b"))

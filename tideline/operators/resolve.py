@@ -97,30 +97,47 @@ def seek(log: DataFrame, target: str, start: str | None = None, end: str | None
     return live(log.where(inside)).select("key", "value").orderBy("key").limit(1)
 
 
+#: Keys drawn by their hash, from whose order range bounds are taken; and the most ranges there are.
+DRAWN, MAX_RANGES = 4096, 1024
+
+
+def range_bounds(values: DataFrame, ranges: int) -> list[str]:
+    """Sorted values that cut the one string column of `values` into about equal ranges.
+
+    A function of the values alone, so that ranges are the same wherever they are computed.
+    """
+    name = values.columns[0]
+    drawn = sorted((r[0] for r in values.orderBy(F.xxhash64(name), name).limit(DRAWN).collect()), key=str.encode)
+    return sorted({drawn[k * len(drawn) // ranges] for k in range(1, ranges)} if drawn else (), key=str.encode)
+
+
+def range_number(value: Column, bounds: list[str]) -> Column:
+    """How many bounds are at most value."""
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= value)) if bounds else F.lit(0)
+
+
 def seek_many(log: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, key): the next live key of each target, NULL when there is none.
 
-    Targets and keys are merged in one ordered stream; the next key is the first key at or
-    after a row. The stream is range partitioned, and what a partition's tail needs from
-    later partitions is the minimum key of those, a list as short as the partitions.
+    Targets and keys are merged in ranges of about equal numbers of keys. Within a range the next
+    key is a running value in descending order, so the time is linear; beyond its last key it is
+    the first key of the next range that has one, a list as short as the ranges.
     """
-    n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probes = targets.select(F.col("target").alias("at")).distinct().withColumn("is_key", F.lit(0))
+    n = min(MAX_RANGES, int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     stored = live_keys(log).select(F.col("key").alias("at"), F.lit(1).alias("is_key"))
-    # ordered by range, then numbered in order: the number of keys before a row is the rank of its next key
-    merged = probes.unionByName(stored).repartitionByRange(n, "at").withColumn("part", F.spark_partition_id())
-    local = Window.partitionBy("part").orderBy("at", "is_key")
-    here = F.min(F.when(F.col("is_key") == 1, F.col("at"))).over(local.rowsBetween(0, Window.unboundedFollowing))
-    first = F.min(F.when(F.col("is_key") == 1, F.col("at"))).over(Window.partitionBy("part"))
-    rows = merged.withColumn("next_here", here).withColumn("first_key", first)
-    # both uses of this pass read one exchange (Spark reuses equal exchanges), so parts agree;
-    # it yields the answers and, per part, its first key: one row for each partition
-    tagged = rows.where("is_key = 0 OR at = first_key")
-    heads = tagged.where("is_key = 1").select(F.col("part").alias("head_part"), F.col("at").alias("head")).distinct()
-    asked = tagged.where("is_key = 0").select("at", "part", "next_here")
-    later = asked.where("next_here IS NULL").join(F.broadcast(heads), F.col("head_part") > F.col("part"), "left").groupBy("at").agg(F.min("head").alias("key"))
-    found = asked.where("next_here IS NOT NULL").select(F.col("at").alias("target"), F.col("next_here").alias("key"))
-    return found.unionByName(later.select(F.col("at").alias("target"), "key"))
+    bounds = range_bounds(stored.select("at"), n)
+    part = range_number(F.col("at"), bounds).alias("part")
+    heads = {r["part"]: r["head"] for r in stored.groupBy(part).agg(F.min("at").alias("head")).collect()}
+    later, following = None, []
+    for k in range(len(bounds), -1, -1):
+        following.insert(0, later)
+        later = heads.get(k, later)
+    probes = targets.select(F.col("target").alias("at")).distinct().withColumn("is_key", F.lit(0))
+    descending = Window.partitionBy("part").orderBy(F.col("at").desc(), F.col("is_key").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.last(F.when(F.col("is_key") == 1, F.col("at")), ignorenulls=True).over(descending)
+    rows = probes.unionByName(stored).select("at", "is_key", part).withColumn("here", here).where("is_key = 0")
+    after = F.get(F.array(*[F.lit(x).cast("string") for x in following]), F.col("part"))
+    return rows.select(F.col("at").alias("target"), F.coalesce("here", after).alias("key"))
 
 
 def snapshot(log: DataFrame, seq: int) -> DataFrame:
@@ -128,10 +145,25 @@ def snapshot(log: DataFrame, seq: int) -> DataFrame:
     return scan(log.where(F.col("seq") <= seq))
 
 
+#: Sequence numbers of a stretch: what one group of delete_existed holds of a key at most.
+STRETCH = 1 << 20
+
+
 def delete_existed(log: DataFrame) -> DataFrame:
-    """Per delete record, whether the key was live just before it."""
-    w = Window.partitionBy("key").orderBy("seq")
-    return log.select("key", "seq", "op", F.lag("op").over(w).alias("before")).where(F.col("op") == DELETE).select("key", "seq", F.coalesce(F.col("before") == SET, F.lit(False)).alias("existed"))
+    """Per delete record, whether the key was live just before it.
+
+    A key's history is cut into stretches of seq, each its own group, so that a key with most of
+    the log is spread. The first record of a stretch follows the last one of the key's stretch
+    before; those are one row for each stretch.
+    """
+    cut = log.select("key", "seq", "op", F.floor(F.col("seq") / STRETCH).alias("stretch"))
+    within_stretch = Window.partitionBy("key", "stretch").orderBy("seq")
+    rows = cut.withColumn("before", F.lag("op").over(within_stretch)).where(F.col("op") == DELETE)
+    ends = cut.groupBy("key", "stretch").agg(F.max_by("op", "seq").alias("end"))
+    ends = ends.select("key", "stretch", F.lag("end").over(Window.partitionBy("key").orderBy("stretch")).alias("end"))
+    first = rows.where("before IS NULL").drop("before").join(ends, ["key", "stretch"]).withColumnRenamed("end", "before")
+    every = rows.where("before IS NOT NULL").select("key", "seq", "before").unionByName(first.select("key", "seq", "before"))
+    return every.select("key", "seq", F.coalesce(F.col("before") == SET, F.lit(False)).alias("existed"))
 
 
 def merge_sources(sources: list[DataFrame], keep_tombstones: bool = False) -> DataFrame:
