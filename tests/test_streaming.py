@@ -16,6 +16,23 @@ def test_ingest_resolves_each_batch(spark, tmp_path):
         assert [tuple(r) for r in store.scan().collect()] == [("c", "w")]
 
 
+def test_a_late_record_does_not_bury_a_newer_one(spark, tmp_path):
+    schema = "key string, seq long, op int, value string"
+    put = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put(("a", 10, 1, "new"), ("b", 11, 1, "x"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    with Store.open(spark, str(tmp_path / "s")) as store:
+        ingest(stream, store, str(tmp_path / "cp")).awaitTermination(60)
+        put(("a", 5, 1, "late"), ("c", 6, 1, "y"), ("b", 12, 2, None))
+        ingest(stream, store, str(tmp_path / "cp")).awaitTermination(60)
+        assert [tuple(r) for r in store.scan().collect()] == [("a", "new"), ("c", "y")]
+        store.set("a", "by hand")
+        ingest(stream, store, str(tmp_path / "other")).awaitTermination(60)  # the whole stream once more
+        assert [tuple(r) for r in store.scan().collect()] == [("a", "by hand"), ("c", "y")]
+    with Store.open(spark, str(tmp_path / "s")) as store:
+        assert store.get("a") == "by hand"
+
+
 def test_live_view(spark, tmp_path):
     schema = "key string, seq long, op int, value string"
     spark.createDataFrame([("a", 1, 1, "x"), ("a", 2, 1, "y"), ("b", 3, 2, None)], schema).write.parquet(str(tmp_path / "in"))

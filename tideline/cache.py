@@ -36,9 +36,9 @@ def now_ms() -> int:
 def decode(raw: str) -> tuple[int, str]:
     head, colon, value = raw.partition(":")
     if not colon:
-        raise CacheCorruption(f"entry has no expiration field: {raw}")
+        raise CacheCorruption(f"no colon after the expiry: {raw!r}")
     if not re.fullmatch(r"\+?[0-9]+", head) or int(head) > MAX_EXPIRY:
-        raise CacheCorruption(f"invalid expiration field: {head}")
+        raise CacheCorruption(f"expiry is no 64-bit number: {head!r}")
     return int(head), value
 
 

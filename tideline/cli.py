@@ -28,25 +28,22 @@ def parser() -> argparse.ArgumentParser:
 
 
 def render(s: Stats) -> list[str]:
-    amplification = "--" if s.write_amplification is None else f"{s.write_amplification:.2f}"
-    return [
-        "Memtable",
-        f"  entries:       {s.memtable_entries}",
-        f"  bytes:         {s.memtable_bytes}",
-        "SSTables",
-        f"  count:         {s.sst_count}",
-        f"  total size:    {s.total_sst_size} bytes",
-        *(f"  L{x.level}:           {x.files} files" for x in s.levels),
-        "WAL",
-        f"  size:          {s.wal_size} bytes",
-        "Performance Counters",
-        f"  memtable hits: {s.memtable_hits}",
-        f"  bloom rejects: {s.bloom_rejects}",
-        f"  block reads:   {s.block_reads}",
-        f"  compactions:   {s.compactions_completed}",
-        f"  full compactions: {s.full_compactions}",
-        f"  write amplification: {amplification}",
-    ]
+    """One `name = value` line for each figure."""
+    figures = {
+        "memtable.entries": s.memtable_entries,
+        "memtable.bytes": s.memtable_bytes,
+        "memtable.hits": s.memtable_hits,
+        "log.bytes": s.wal_size,
+        "files": s.sst_count,
+        "files.bytes": s.total_sst_size,
+        **{f"level.{x.level}.files": x.files for x in s.levels},
+        "reads.files_skipped": s.bloom_rejects,
+        "reads.files_read": s.block_reads,
+        "compactions": s.compactions_completed,
+        "compactions.full": s.full_compactions,
+        "write_amplification": "none" if s.write_amplification is None else f"{s.write_amplification:.3f}",
+    }
+    return [f"{name} = {value}" for name, value in figures.items()]
 
 
 def run(store: Store, a: argparse.Namespace) -> list[str]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import struct
 import zlib
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,15 @@ class BloomFilter:
         self.k = min(30, max(1, math.floor(self.m / expected * math.log(2) + 0.5)))
         self.words = [0] * -(-self.m // 64)
 
+    @classmethod
+    def from_entries(cls, keys: Iterable[str], rate: float = RATE) -> BloomFilter:
+        """A filter of the size that the keys need, holding them."""
+        held = list(keys)
+        out = cls(len(held), rate)
+        for key in held:
+            out.insert(key)
+        return out
+
     def _positions(self, key: str):
         data = key.encode()
         h1, h2 = zlib.crc32(data), zlib.crc32(data[::-1])

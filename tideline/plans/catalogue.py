@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,8 +14,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.cache import Cache
+from tideline.errors import InjectedFault, LogIncomplete, StoreIOError
+from tideline.faults import Fault, FaultPoint
 from tideline.functions import bloom
-from tideline.functions.records import crc32, encode_entry, expiry_of, is_expired, record_size, value_of
+from tideline.functions.records import crc32, encode_entry, expiry_of, is_expired, level_capacity, record_size, value_of
 from tideline.operators import compaction, resolve
 from tideline.options import Options
 from tideline.session import ship
@@ -209,8 +214,8 @@ def _read_attribution(spark, d):
 
 @query("shadowed", f", {RUN_SQL} SELECT count(*) AS n, CAST(sum(CASE WHEN run < top THEN 1 ELSE 0 END) AS BIGINT) AS shadowed FROM (SELECT run, max(run) OVER (PARTITION BY key) AS top FROM newest)")
 def _shadowed(spark, d):
-    top = F.max("run").over(Window.partitionBy("key"))
-    return runs(spark, d).select("run", top.alias("top")).agg(F.count("*").alias("n"), F.sum((F.col("run") < F.col("top")).cast("long")).alias("shadowed"))
+    each = runs(spark, d).groupBy("key").agg(F.count("*").alias("n"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.sum(F.col("n") - 1).alias("shadowed"))
 
 
 @query("merge_keep_tombstones", "SELECT key, op, value FROM latest")
@@ -241,7 +246,8 @@ def _write_amp(spark, d):
 
 @query("level_capacities", "SELECT CAST(i AS BIGINT) AS level, CAST(8388608 * power(10, greatest(i - 1, 0)) AS BIGINT) AS capacity FROM range(1, 8) t(i)")
 def _level_capacities(spark, d):
-    return spark.range(1, 8).select(F.col("id").alias("level"), (F.lit(8388608) * F.pow(F.lit(10.0), F.greatest(F.col("id") - 1, F.lit(0)))).cast("long").alias("capacity"))
+    options = Options()
+    return spark.createDataFrame([(k, level_capacity(k, options.target_level_size, options.level_size_multiplier)) for k in range(1, 8)], "level long, capacity long")
 
 
 @query("stats_ops", "SELECT op, count(*) AS n, count(DISTINCT key) AS n_keys FROM log GROUP BY op")
@@ -255,11 +261,31 @@ def _bloom_params(spark, d):
     return sized.withColumn("k", bloom.num_hashes(F.col("m"), F.col("n")))
 
 
-@query("bloom_membership", "SELECT key, true AS maybe FROM (SELECT DISTINCT key FROM log)")
+#: CRC-32 of a key of ASCII characters, and of its reversed bytes, by the table of the polynomial.
+CRC_SQL = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS tab),
+crc_bytes AS (SELECT key, list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT)) AS b FROM (SELECT DISTINCT key FROM asked)),
+crc AS (SELECT key, xor(list_reduce(list_concat([4294967295], b), lambda x, y: xor(x >> 8, tab[xor(x & 255, y) + 1])), 4294967295) AS h1,
+  xor(list_reduce(list_concat([4294967295], list_reverse(b)), lambda x, y: xor(x >> 8, tab[xor(x & 255, y) + 1])), 4294967295) AS h2 FROM crc_bytes, crc_table)"""
+
+
+def asked_keys(spark, d) -> DataFrame:
+    """Every key of the log, and as many that it does not hold."""
+    keys = event_log(spark, d).select("key").distinct()
+    return keys.unionByName(keys.select(F.concat(F.lit("absent:"), "key").alias("key")))
+
+
+@query("bloom_membership", f""", asked AS (SELECT key FROM log UNION SELECT 'absent:' || key FROM log), {CRC_SQL},
+n AS (SELECT count(DISTINCT key) AS n FROM log), m AS (SELECT n, greatest(CAST(ceil(-n * ln(0.01::DOUBLE) / (ln(2.0::DOUBLE) * ln(2.0::DOUBLE))) AS BIGINT), 64) AS m FROM n),
+k AS (SELECT m, CAST(least(greatest(round(m / n::DOUBLE * ln(2.0::DOUBLE)), 1), 30) AS BIGINT) AS k FROM m),
+bits AS (SELECT key, unnest(list_transform(range(k), lambda i: (h1 + i * h2) % m)) AS bit FROM crc, k),
+held AS (SELECT DISTINCT bit FROM bits WHERE NOT starts_with(key, 'absent:'))
+SELECT key, bool_and(held.bit IS NOT NULL) AS maybe FROM bits LEFT JOIN held USING (bit) GROUP BY key""")
 def _bloom_membership(spark, d):
-    """No false negative: every stored key may be contained in a filter of all keys."""
+    """A filter of the size that the keys need, asked for them and for absent ones."""
     keys = event_log(spark, d).select("key").distinct()
-    return bloom.might_contain(keys, bloom.build(keys, 65_536, 7), 65_536, 7)
+    n = F.col("n")
+    size = keys.agg(F.count("*").alias("n")).withColumn("m", bloom.num_bits(n)).select("m", bloom.num_hashes(F.col("m"), n).alias("k")).first()
+    return bloom.might_contain(asked_keys(spark, d), bloom.build(keys, size["m"], size["k"]), size["m"], size["k"])
 
 
 TTL_MS, AS_OF_MS = 86_400_000, 1_706_659_200_000
@@ -280,7 +306,7 @@ def _ttl_entries(spark, d):
     return rows.where(~is_expired(F.col("expires_at_ms"), F.lit(AS_OF_MS)))
 
 
-@query("key_checksums", None)
+@query("key_checksums", f", asked AS (SELECT key FROM log), {CRC_SQL} SELECT key, h1, h2 FROM crc")
 def _key_checksums(spark, d):
     """CRC-32 of keys and of their reversed bytes, as the filters hash them."""
     keys = event_log(spark, d).select("key").distinct()
@@ -288,12 +314,19 @@ def _key_checksums(spark, d):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder for a store of a query: shared where the cluster names one, else temporary."""
+    """A folder for the files of a query, gone when the process ends: on the mounted path that the
+    cluster names, else temporary. A store locks and renames files, so it needs such a path."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        return tempfile.mkdtemp(prefix="tideline-")
-    folder = os.path.join(base.removeprefix("file://"), f"store-{uuid.uuid4().hex}")
-    os.makedirs(folder)
+        folder = tempfile.mkdtemp(prefix="tideline-")
+    else:
+        scheme, mark, rest = base.partition(":")
+        if mark and "/" not in scheme and scheme != "file":
+            raise StoreIOError(f"a store needs a mounted folder, which {base} is not")
+        path = "/" + rest.lstrip("/") if mark and scheme == "file" else base
+        folder = os.path.join(path, f"store-{uuid.uuid4().hex}")
+        os.makedirs(folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
@@ -311,32 +344,35 @@ def loaded_store(spark: SparkSession, sf_dir: str, parts: int = 5) -> Store:
 @query("store_scan", "SELECT key, value FROM live")
 def _store_scan(spark, d):
     """Through flushes and leveled compaction in files."""
-    return loaded_store(spark, d).scan()
+    with loaded_store(spark, d) as store:
+        return store.scan()
 
 
 @query("store_range", "SELECT key, value FROM live WHERE key > 'user:000002' AND key <= 'user:000015'")
 def _store_range(spark, d):
-    return loaded_store(spark, d).range("user:000002", "user:000015", start_inclusive=False, end_inclusive=True)
+    with loaded_store(spark, d) as store:
+        return store.range("user:000002", "user:000015", start_inclusive=False, end_inclusive=True)
 
 
 @query("store_compact_full", "SELECT key, value FROM live")
 def _store_compact_full(spark, d):
-    store = loaded_store(spark, d)
-    store.compact_full()
-    if store.stats().sst_count > 1:
-        raise AssertionError("a full compaction leaves one file")
-    return store.scan()
+    with loaded_store(spark, d) as store:
+        store.compact_full()
+        files = store.files()
+        if any(f.level != 1 for f in files) or any(a.largest >= b.smallest for a, b in zip(files, files[1:], strict=False)):
+            raise AssertionError("a full compaction leaves one run of level 1")
+        return store.scan()
 
 
 @query("store_levels", "SELECT count(*) AS n_keys, true AS disjoint FROM live")
 def _store_levels(spark, d):
     """Files of each level from 1 on have disjoint key ranges."""
-    store = loaded_store(spark, d)
-    files = [f for f in store.files() if f.level]
+    with loaded_store(spark, d) as store:
+        files, keys = [f for f in store.files() if f.level], store.keys()
     meta = spark.createDataFrame([(f.level * 1_000_000 + f.id, f.level, f.smallest, f.largest) for f in files], "run long, level int, lo string, hi string")
     same = compaction.overlapping_runs(meta).join(meta.select(F.col("run").alias("a"), "level"), "a").join(meta.select(F.col("run").alias("b"), F.col("level").alias("l2")), "b").where("level = l2")
     n = same.agg((F.count("*") == 0).alias("disjoint"))
-    return store.keys().agg(F.count("*").alias("n_keys")).withColumn("disjoint", F.lit(n.first()[0]))
+    return keys.agg(F.count("*").alias("n_keys")).withColumn("disjoint", F.lit(n.first()[0]))
 
 
 def written_parts(rows: DataFrame, encode: Callable[[list, int], tuple[str, bytes]], folder: str) -> None:
@@ -391,23 +427,185 @@ def block_file_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockfile.as_log(blockfile.read_block_files(spark, folder))
 
 
-@query("wal_recover", "SELECT key, value FROM live WHERE key < 'user:000020'")
+@query("wal_recover", "SELECT key, value FROM live")
 def _wal_recover(spark, d):
-    """The first keys of the recovered log; the log holds all of them."""
-    return resolve.scan(recovered_log(spark, d)).where(F.col("key") < "user:000020")
-
-
-@query("wal_recover_all", "SELECT key, value FROM live")
-def _wal_recover_all(spark, d):
     return resolve.scan(recovered_log(spark, d))
 
 
-@query("block_files", "SELECT key, value FROM live WHERE key < 'user:000020'")
+@query("block_files", "SELECT key, value FROM live")
 def _block_files(spark, d):
-    """The first keys of the block files, merged by recency; the files hold all of them."""
-    return resolve.scan(block_file_log(spark, d)).where(F.col("key") < "user:000020")
+    return resolve.scan(block_file_log(spark, d))
 
 
-@query("block_files_all", "SELECT key, value FROM live")
-def _block_files_all(spark, d):
-    return resolve.scan(block_file_log(spark, d))
+# Single operations, one call each on the driver, over the whole of a small table: `nation`.
+# Key n:<name>, value <region key>|<name>. Keys of nations whose number divides by 5 are deleted,
+# those whose number divides by 3 are set a second time, in this order.
+
+NATION_SQL = """nations AS (SELECT 'n:' || n_name AS key, CAST(n_regionkey AS VARCHAR) || '|' || n_name AS value, CAST(n_nationkey AS BIGINT) AS id FROM nation),
+state AS (SELECT key, id, CASE WHEN id % 3 = 0 THEN 'again|' || value WHEN id % 5 = 0 THEN NULL ELSE value END AS value FROM nations)"""
+
+
+def nations(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, int]]:
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", "n_regionkey", "n_nationkey").collect()
+    return sorted((f"n:{r[0]}", f"{r[1]}|{r[0]}", r[2]) for r in rows)
+
+
+def nation_changes(rows: list[tuple[str, str, int]]) -> list[tuple[str, str | None]]:
+    """(key, value) of each change in order; a value of None deletes."""
+    return [(k, v) for k, v, _ in rows] + [(k, None) for k, _, i in rows if i % 5 == 0] + [(k, f"again|{v}") for k, v, i in rows if i % 3 == 0]
+
+
+def nation_store(spark: SparkSession, sf_dir: str, flush_threshold: int = 8, folder: str | None = None) -> tuple[Store, list, dict[str, bool]]:
+    """An open store after all changes, the rows, and what each delete returned."""
+    store, rows, existed = Store.open(spark, folder or scratch(spark), flush_threshold=flush_threshold), nations(spark, sf_dir), {}
+    for key, value in nation_changes(rows):
+        if value is None:
+            existed[key] = store.delete(key)
+        else:
+            store.set(key, value)
+    return store, rows, existed
+
+
+@query("store_single", f", {NATION_SQL} SELECT key, value, value IS NOT NULL AS present, id % 5 = 0 AS existed FROM state UNION ALL SELECT 'absent', NULL, false, false")
+def _store_single(spark, d):
+    """set, delete, flushes on the way, reopening, then get and exists of each key."""
+    folder = scratch(spark)
+    store, rows, existed = nation_store(spark, d, folder=folder)
+    store.close()
+    with Store.open(spark, folder) as store:
+        got = [(k, store.get(k), store.exists(k), existed.get(k, False)) for k in [*(r[0] for r in rows), "absent"]]
+    return spark.createDataFrame(got, "key string, value string, present boolean, existed boolean")
+
+
+@query("store_log_replay", f", {NATION_SQL} SELECT key, value FROM state WHERE value IS NOT NULL")
+def _store_log_replay(spark, d):
+    """Nothing is flushed: after reopening all comes from the log."""
+    folder = scratch(spark)
+    nation_store(spark, d, 10**9, folder)[0].close()
+    with Store.open(spark, folder) as store:
+        if store.files():
+            raise AssertionError("records were flushed")
+        return store.scan()
+
+
+@query("cursor_seek", f", {NATION_SQL}, l AS (SELECT key FROM state WHERE value IS NOT NULL AND key >= 'n:B' AND key < 'n:T'), t(target) AS (VALUES (''), ('n:CHINA'), ('n:G'), ('n:Q'), ('n:S'), ('z')) SELECT target, (SELECT min(key) FROM l WHERE key >= target) AS key, (SELECT count(*) FROM l WHERE key >= target) AS n_left FROM t")
+def _cursor_seek(spark, d):
+    """Seeks of an ordered cursor stay in its bounds; what is left is walked to the end."""
+    store, _, _ = nation_store(spark, d)
+    with store:
+        cursor, out = store.cursor("n:B", "n:T"), []
+        for target in ("", "n:CHINA", "n:G", "n:Q", "n:S", "z"):
+            cursor.seek(target)
+            out.append((target, cursor.key(), sum(1 for _ in cursor)))
+    return spark.createDataFrame(out, "target string, key string, n_left long")
+
+
+@query("store_stats", f""", {NATION_SQL}, c AS (SELECT key, value, 1 AS op FROM nations UNION ALL SELECT key, '', 2 FROM nations WHERE id % 5 = 0 UNION ALL SELECT key, 'again|' || value, 1 FROM nations WHERE id % 3 = 0),
+newest AS (SELECT key, CASE WHEN id % 3 = 0 THEN 'again|' || value WHEN id % 5 = 0 THEN '' ELSE value END AS value FROM nations)
+SELECT (SELECT count(*) FROM newest) AS memtable_entries, (SELECT CAST(sum(strlen(key) + strlen(value)) AS BIGINT) FROM newest) AS memtable_bytes, (SELECT CAST(sum(17 + strlen(key) + strlen(value)) AS BIGINT) FROM c) AS wal_size,
+  (SELECT count(*) FROM state WHERE value IS NOT NULL) AS memtable_hits, 1::BIGINT AS flushed_files, (SELECT CAST(sum(9 + strlen(key) + strlen(value)) AS BIGINT) FROM newest) AS bytes_flushed, 0::BIGINT AS wal_after, 0::BIGINT AS entries_after""")
+def _store_stats(spark, d):
+    """Figures of a store with all records in memory, read once each, and after its flush."""
+    store, rows, _ = nation_store(spark, d, 10**9)
+    with store:
+        for key, _, _ in rows:
+            store.get(key)
+        before = store.stats()
+        store.flush()
+        after = store.stats()
+    names = "memtable_entries long, memtable_bytes long, wal_size long, memtable_hits long, flushed_files long, bytes_flushed long, wal_after long, entries_after long"
+    return spark.createDataFrame([(before.memtable_entries, before.memtable_bytes, before.wal_size, before.memtable_hits, after.sst_count, after.bytes_flushed, after.wal_size, after.memtable_entries)], names)
+
+
+@query("compaction_metrics", f""", {NATION_SQL}, b AS (SELECT CAST(sum(9 + strlen(key) + strlen(value)) AS BIGINT) AS flushed FROM nations), t AS (SELECT CAST(sum(CASE WHEN id % 5 = 0 THEN 9 + strlen(key) ELSE 9 + strlen(key) + 6 + strlen(value) END) AS BIGINT) AS flushed FROM nations WHERE id % 5 = 0 OR id % 3 = 0),
+w AS (SELECT CAST(sum(9 + strlen(key) + strlen(CASE WHEN id % 5 = 0 THEN NULL WHEN id % 3 = 0 THEN 'again|' || value ELSE value END)) AS BIGINT) AS written FROM nations WHERE id % 5 <> 0)
+SELECT 1::BIGINT AS full_compactions, 2::BIGINT AS input_files, b.flushed + t.flushed AS bytes_read, written AS bytes_written, round(CAST(b.flushed + t.flushed + written AS DOUBLE) / (b.flushed + t.flushed), 6) AS write_amplification FROM b, t, w""")
+def _compaction_metrics(spark, d):
+    """Two flushed files, the second with deletes and newer values, merged by a full compaction."""
+    rows = nations(spark, d)
+    with Store.open(spark, scratch(spark), Options(flush_threshold=10**9, l0_compaction_threshold=10**6)) as store:
+        for key, value, _ in rows:
+            store.set(key, value)
+        store.flush()
+        for key, value, i in rows:
+            if i % 5 == 0:
+                store.delete(key)
+            elif i % 3 == 0:
+                store.set(key, f"again|{value}")
+        store.flush()
+        store.compact_full()
+        s = store.stats()
+    return spark.createDataFrame([(s.full_compactions, s.compaction_input_files, s.compaction_bytes_read, s.compaction_bytes_written, round(s.write_amplification, 6))], "full_compactions long, input_files long, bytes_read long, bytes_written long, write_amplification double")
+
+
+@query("cache_state", f""", {NATION_SQL}, e AS (SELECT key, value, CASE WHEN id % 4 = 0 THEN 0 ELSE 1000 * (1 + id % 4) END AS ttl FROM nations WHERE id % 7 <> 0)
+SELECT n.key, CASE WHEN e.key IS NULL THEN 'miss' WHEN ttl <> 0 AND ttl <= 3000 THEN 'expired' ELSE 'hit' END AS state, CASE WHEN ttl = 0 OR ttl > 3000 THEN e.value END AS value FROM nations n LEFT JOIN e ON n.key = e.key
+UNION ALL SELECT 'counts', count(*) || ' sets ' || count(CASE WHEN ttl = 0 OR ttl > 3000 THEN 1 END) || ' hits ' || ((SELECT count(*) FROM nations) - count(CASE WHEN ttl = 0 OR ttl > 3000 THEN 1 END)) || ' misses ' || count(CASE WHEN ttl <> 0 AND ttl <= 3000 THEN 1 END) || ' expired', CAST(count(CASE WHEN ttl = 0 OR ttl > 3000 THEN 1 END) AS VARCHAR) FROM e""")
+def _cache_state(spark, d):
+    """set with a time to live, delete, get at a later time; then the counters, and what clear removed."""
+    rows, now = nations(spark, d), [1_000_000]
+    cache = Cache.open(spark, scratch(spark), clock=lambda: now[0])
+    for key, value, i in rows:
+        if i % 7:
+            cache.set(key, value, 0 if i % 4 == 0 else 1 + i % 4)
+    now[0] += 3000
+    out = []
+    for key, _, _ in rows:
+        before = cache.stats().expired
+        value = cache.get(key)
+        out.append((key, "expired" if cache.stats().expired > before else "miss" if value is None else "hit", value))
+    s = cache.stats()
+    cache.clear()
+    out.append(("counts", f"{s.sets} sets {s.hits} hits {s.misses} misses {s.expired} expired", str(cache.stats().deletes)))
+    if cache.stats().clears != 1 or cache.exists(rows[0][0]):
+        raise AssertionError("clear leaves nothing")
+    cache.close()
+    return spark.createDataFrame(out, "key string, state string, value string")
+
+
+@query("block_file_get", f", {NATION_SQL} SELECT key, true AS found, value FROM state UNION ALL SELECT 'no:' || key, false, NULL FROM nations")
+def _block_file_get(spark, d):
+    """Point reads of one block file of small blocks, through filter and index, present or not."""
+    rows = nations(spark, d)
+    data = blockfile.BlockFile(blockfile.encode(dict(nation_changes(rows)).items(), 128))
+    got = [(k, *data.get(k)) for k in [*(r[0] for r in rows), *("no:" + r[0] for r in rows)]]
+    return spark.createDataFrame(got, "key string, found boolean, value string")
+
+
+@query("wal_strict", f", {NATION_SQL} SELECT key, count(*) AS n_records FROM (SELECT key FROM nations UNION ALL SELECT key FROM nations WHERE id % 5 = 0 UNION ALL SELECT key FROM nations WHERE id % 3 = 0) GROUP BY key UNION ALL SELECT 'torn: incomplete', 1")
+def _wal_strict(spark, d):
+    """A log read strictly: all of it, and refused once its last record is cut."""
+    changes = nation_changes(nations(spark, d))
+    data = b"".join(wal.Record(resolve.DELETE if v is None else resolve.SET, k, v).encode() for k, v in changes)
+    records, _ = wal.read(data, strict=True)
+    rows = [(r.key,) for r in records]
+    try:
+        wal.read(data[:-3], strict=True)
+        rows.append(("torn: accepted",))
+    except LogIncomplete:
+        rows.append(("torn: incomplete",))
+    return spark.createDataFrame(rows, "key string").groupBy("key").agg(F.count("*").alias("n_records"))
+
+
+@query("store_faults", "SELECT point, true AS recovered FROM (VALUES " + ",".join(f"('{p.value}')" for p in FaultPoint) + ") t(point)")
+def _store_faults(spark, d):
+    """Each fault point hit once while the nations are written; reopened, the store holds all that was acknowledged."""
+    changes, out = nation_changes(nations(spark, d)), []
+    for point in FaultPoint:
+        folder, model, doubt = scratch(spark), {}, None
+        options = Options(flush_threshold=20, l0_compaction_threshold=2, fault=Fault(point, 1))
+        try:
+            with Store.open(spark, folder, options) as store:
+                for doubt in changes:
+                    key, value = doubt
+                    store.delete(key) if value is None else store.set(key, value)
+                    model[key] = value
+                doubt = None
+        except InjectedFault:
+            pass
+        with Store.open(spark, folder) as store:
+            held = {r["key"]: r["value"] for r in store.scan().collect()}
+        live = {k: v for k, v in model.items() if v is not None}
+        after = dict(model, **({doubt[0]: doubt[1]} if doubt else {}))
+        out.append((point.value, held in (live, {k: v for k, v in after.items() if v is not None})))
+    return spark.createDataFrame(out, "point string, recovered boolean")

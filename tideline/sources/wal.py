@@ -30,21 +30,21 @@ class Record:
 def decode_body(body: bytes) -> Record:
     """A record from its op, lengths, key and value bytes."""
     if len(body) < _BODY:
-        raise LogCorruption("record too short")
+        raise LogCorruption("body is shorter than its header")
     op, n_key, n_value = struct.unpack_from("<BII", body)
     if len(body) < _BODY + n_key + n_value:
-        raise LogCorruption("record truncated")
+        raise LogCorruption("key or value reaches beyond the body")
     try:
         key, value = body[_BODY : _BODY + n_key].decode(), body[_BODY + n_key : _BODY + n_key + n_value].decode()
     except UnicodeDecodeError as e:
-        raise LogCorruption("invalid UTF-8") from e
+        raise LogCorruption("key or value is not UTF-8") from e
     if op == SET:
         return Record(SET, key, value)
     if op == DELETE:
         if n_value:
-            raise LogCorruption("DELETE record has non-zero value length")
+            raise LogCorruption("a delete carries a value")
         return Record(DELETE, key)
-    raise LogCorruption(f"unknown operation: {op}")
+    raise LogCorruption(f"operation code {op} is neither set nor delete")
 
 
 def _framed(data: bytes, at: int) -> bytes | None:
@@ -72,11 +72,11 @@ def read(data: bytes, *, strict: bool = False) -> tuple[list[Record], int]:
             if any(_framed(data, k) is not None for k in range(at + 1, len(data) - _FRAME - _BODY + 1)):
                 raise LogCorruption("damaged length before valid records")
             if strict and not (n is not None and n < _BODY):
-                raise LogIncomplete("incomplete log record")
+                raise LogIncomplete("the log ends within a record")
             break
         body = _framed(data, at)
         if body is None:
-            raise LogCorruption("checksum mismatch")
+            raise LogCorruption("checksum of a record differs")
         records.append(decode_body(body))
         at += _FRAME + n
     return records, at

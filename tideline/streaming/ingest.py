@@ -11,21 +11,22 @@ from tideline.store import Store
 
 
 def newest_per_key(batch: DataFrame) -> DataFrame:
-    """(key, op, value): the last change of each key in a batch of (key, seq, op, value)."""
+    """(key, seq, op, value): the last change of each key in a batch of (key, seq, op, value)."""
     order = Window.partitionBy("key").orderBy(F.col("seq").desc())
-    return batch.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("key", "op", "value")
+    return batch.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("key", "seq", "op", "value")
 
 
 def ingest(changes: DataFrame, store: Store, checkpoint: str, **trigger) -> StreamingQuery:
     """Writes a stream of (key, seq, op, value) to a store, a micro-batch per commit.
 
-    A batch that is replayed after a failure overwrites the same keys with the same values.
+    Records keep their seq, so one that comes late does not bury a newer one of an earlier batch,
+    and a batch that is replayed after a failure changes nothing, whatever was written meanwhile.
     """
 
     def commit(batch: DataFrame, _: int) -> None:
         rows = newest_per_key(batch)
         if not rows.isEmpty():
-            store.write(rows)
+            store.write(rows, own_seq=True)
 
     return changes.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
