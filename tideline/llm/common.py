@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -224,6 +225,13 @@ def known_id(name: str = "doc_id"):
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
 
+def listed(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A small table of driver rows, as an expression of built-in functions."""
+    each = F.explode(F.from_json(F.lit(json.dumps([list(r) for r in rows])), "array<array<string>>")).alias("r")
+    names = [part.strip().split(" ") for part in schema.split(",")]
+    return spark.range(1).select(each).select(*[F.get("r", F.lit(k)).cast(kind).alias(name) for k, (name, kind) in enumerate(names)])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

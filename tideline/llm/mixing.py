@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, passing_cuts, stable_unit
+from tideline.llm.common import cut, listed, passing_cuts, stable_unit
 from tideline.llm.exprs import WORD, let
 
 BUDGET, TOLERANCE, MAX_ROUNDS = 0.5, 1e-11, 100
@@ -92,7 +92,7 @@ def goals(cells: DataFrame, dim: str, given: dict[str, float] | None) -> DataFra
     if given is None:
         share = F.pow("mass", F.lit(POWERS[dim]))
     else:
-        table = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{dim} string, weight double")
+        table = listed(cells.sparkSession, [(k, repr(float(v))) for k, v in given.items()], f"{dim} string, weight double")
         sums, share = sums.join(table, dim, "left"), F.coalesce("weight", F.lit(0.0))
     whole = Window.partitionBy()
     if dim == "source":
@@ -117,7 +117,7 @@ def cell_rates(rows: DataFrame, targets: Targets | None = None) -> DataFrame | N
     if not (any(goal["lang"].values()) and any(goal["topic"].values()) and by_source.where("goal > 0").head(1)):
         raise ValueError("no class with a target occurs in the table")
     langs, topics = sorted(goal["lang"]), sorted(goal["topic"])
-    number = lambda dim, names, to: spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), f"{dim} string, {to} int")
+    number = lambda dim, names, to: listed(spark, [(x, str(k)) for k, x in enumerate(names)], f"{dim} string, {to} int")
     numbered = cells.join(number("lang", langs, "l"), "lang").join(number("topic", topics, "t"), "topic")
     grouped = numbered.groupBy("source").agg(F.collect_list(F.struct("l", "t", "tokens")).alias("cells"))
     table = cut(grouped.join(by_source, "source"))
