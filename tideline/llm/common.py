@@ -196,18 +196,38 @@ _cuts: list[list[str]] = []
 def cut(df: DataFrame, result: bool = False) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: lineage ends there.
 
-    Inside passing_cuts the table goes at its end; a result stays until that of the caller.
+    Inside passing_cuts the table goes at its end; a result stays until that of the caller. The
+    shuffle files of the write go with it: nothing reads them once the table is committed.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tideline-{uuid.uuid4().hex}"
     if len(_cuts) > result:
         _cuts[-1 - result].append(path)
-    df.write.parquet(path)
+    with _setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 @contextlib.contextmanager
 def passing_cuts(spark: SparkSession):
-    """Deletes the tables that `cut` writes inside, but results; nothing lazy may read them later."""
+    """Deletes the tables that `cut` writes inside, but results; nothing lazy may read them later.
+
+    Spark keeps the shuffle files of a finished query until the driver's heap is collected, which
+    a small driver may put off for the whole job: what is unreachable by now goes first.
+    """
+    spark._jvm.System.gc()
     _cuts.append([])
     try:
         yield
@@ -239,13 +259,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, size: str = "8m"):
     """Bounds the bytes of an Arrow batch for the jobs started inside."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
-    try:
+    with _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size):
         yield
-    finally:
-        spark.conf.set(key, before)
 
 
 def stable_unit(column, seed: str):
