@@ -261,7 +261,7 @@ def clean(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     with small_batches(spark), passing_cuts(spark):
-        grouped = cut(_grouped(docs))
+        grouped = cut(_grouped(docs), result=True)
         kept = grouped.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__tl_id")).agg(F.count("*").alias("__tl_n"))
         rows = docs.withColumn("__tl_id", F.col("doc_id").cast("long")).join(kept, "__tl_id")
         single, repeated = rows.where("__tl_n = 1"), rows.where("__tl_n > 1").dropDuplicates(["__tl_id"])
@@ -272,7 +272,7 @@ def clean(docs: DataFrame) -> DataFrame:
             marked = _set_ids(missing).join(nameless.select(F.col("set_id").alias("__tl_set"), F.col("group").alias("__tl_group")).distinct(), "__tl_set")
             lone, tied = marked.where("__tl_group IS NULL"), marked.where("__tl_group IS NOT NULL").dropDuplicates(["__tl_group"])
             out = out.unionByName(lone.unionByName(tied).select(*docs.columns))
-        return cut(out, result=True)
+        return out
 
 
 def _set_ids(docs: DataFrame) -> DataFrame:
