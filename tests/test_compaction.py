@@ -1,6 +1,10 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from tideline.operators.compaction import FileMeta, pick_compaction
+from tideline.operators.compaction import TOP, FileMeta, blocks_over, blocks_within, overlapping_runs, pick_compaction
+from tideline.operators.resolve import MAX_RANGES
 from tideline.options import Options
 
 CONFIG = Options(l0_compaction_threshold=2, level_size_multiplier=2, target_level_size=100)
@@ -32,3 +36,22 @@ def test_picker(files, plan):
 def test_options_are_clamped():
     o = Options(l0_compaction_threshold=0, level_size_multiplier=1, target_level_size=0)
     assert (o.l0_compaction_threshold, o.level_size_multiplier, o.target_level_size) == (1, 2, 1)
+
+
+def test_an_interval_over_all_ranges_takes_few_blocks(spark):
+    """Long runs used to be put into each range that they reach, and compared in all of them."""
+    spans = [(0, MAX_RANGES - 1), (1, MAX_RANGES - 2), (0, 0), (MAX_RANGES - 1, MAX_RANGES - 1), (31, 32), (5, 700), (33, 62)]
+    rows = spark.createDataFrame(spans, "first int, last int").select("first", "last", blocks_within(F.col("first"), F.col("last")).alias("blocks"))
+    over = [set(r[0]) for r in spark.range(MAX_RANGES).select(blocks_over(F.col("id").cast("int"))).collect()]
+    for first, last, blocks in rows.collect():
+        assert len(blocks) <= MAX_RANGES / 2**TOP + 2 * TOP and all(len(over[k] & set(blocks)) == (first <= k <= last) for k in range(MAX_RANGES))
+
+
+def test_overlaps_of_long_runs_and_equal_begins(spark):
+    r = random.Random(4)
+    runs = [(k, f"{r.choice([0, 7, k]):04}", f"{r.choice([7, k, 9000, 9999]):04}") for k in range(1500)]
+    runs = [(k, min(lo, hi), max(lo, hi)) for k, lo, hi in runs] + [(None, "0000", "9999"), (1500, None, None)]
+    got = [tuple(x) for x in overlapping_runs(spark.createDataFrame(runs, "run long, lo string, hi string")).collect()]
+    runs = runs[:1500]
+    want = {(a, b) for a, lo, hi in runs for b, lo2, hi2 in runs[a + 1 :] if lo <= hi2 and lo2 <= hi}
+    assert len(got) == len(want) and set(got) == want

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.records import level_capacity, record_size
-from tideline.operators.resolve import MAX_RANGES, SET, latest, range_bounds, range_number
+from tideline.operators.resolve import DRAWN, MAX_RANGES, SET, latest
 from tideline.options import Options
 
 
@@ -84,15 +86,66 @@ def file_metadata(log: DataFrame, run: str = "run") -> DataFrame:
     return log.groupBy(run).agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"), F.sum(record_size(F.col("key"), F.col("value"))).alias("bytes"))
 
 
+def key_ranges(log: DataFrame, run: str = "run") -> DataFrame:
+    """(run, lo, hi) of each run of a changelog. A key's older records do not widen a run, so they may stay."""
+    return log.groupBy(run).agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+
+
+#: A block of ranges holds 2^height of them, aligned; this is the greatest height.
+TOP = 5
+
+
+def blocks_over(place: Column) -> Column:
+    """The block of each height that holds a range."""
+    return F.array(*[F.shiftright(place, h) + h * 2 * MAX_RANGES for h in range(TOP + 1)])
+
+
+def blocks_within(first: Column, last: Column) -> Column:
+    """The fewest blocks that hold the ranges from first to last, each in exactly one."""
+    edges = []
+    for h in range(TOP):
+        low, high = F.shiftright(first + (2**h - 1), h), F.shiftright(last + 1, h)
+        edges.append(F.when((low < high) & (low % 2 == 1), low + h * 2 * MAX_RANGES))
+        edges.append(F.when((low < high) & (high % 2 == 1), high - 1 + h * 2 * MAX_RANGES))
+    low, high = F.shiftright(first + (2**TOP - 1), TOP), F.shiftright(last + 1, TOP)
+    whole = F.when(low < high, F.sequence(low + TOP * 2 * MAX_RANGES, high - 1 + TOP * 2 * MAX_RANGES)).otherwise(F.array().cast("array<int>"))
+    return F.array_compact(F.concat(F.array(*edges), whole))
+
+
+def json_array(values: list, kind: str) -> Column:
+    """A constant array, sent to the session as one text."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def count_true(holds: Callable[[Column], Column]) -> Column:
+    """How many of the first MAX_RANGES - 1 places hold; those that do come first. By bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((MAX_RANGES - 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(holds(n + step - 1), n + step).otherwise(n))
+
+
 def overlapping_runs(meta: DataFrame) -> DataFrame:
     """(a, b): pairs of runs whose closed key intervals overlap; meta holds one row per file.
 
-    Intervals are put into each key range that they reach and meet within a range by an equi-join.
-    A pair counts in the range where the later of the two begins, hence once.
+    Of such a pair, the run that is later by (lo, run) begins inside the other. That order is cut
+    into ranges of about equally many runs, even where many begin with one key. A run that begins
+    is put into the blocks that hold its range, at most TOP + 1; an interval into the blocks that
+    make it up. They meet in exactly one block, so beside the pairs themselves only runs that
+    begin in one range are compared in vain.
     """
-    bounds = range_bounds(meta.select("lo"), MAX_RANGES)
-    first, last = range_number(F.col("lo"), bounds), range_number(F.greatest("lo", "hi"), bounds)
-    placed = meta.select("run", "lo", "hi", first.alias("first"), F.explode(F.sequence(first, last)).alias("place"))
-    a, b = placed.alias("a"), placed.alias("b")
-    meets = (F.col("a.place") == F.col("b.place")) & (F.col("a.run") < F.col("b.run")) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi"))
-    return a.join(b, meets & (F.col("a.place") == F.greatest("a.first", "b.first"))).select(F.col("a.run").alias("a"), F.col("b.run").alias("b"))
+    meta = meta.select("run", "lo", "hi").where("run IS NOT NULL AND lo IS NOT NULL")
+    drawn = sorted((r["lo"].encode(), r["run"]) for r in meta.select("lo", "run").orderBy(F.xxhash64("run"), "run").limit(DRAWN).collect())
+    bounds = sorted({drawn[k * len(drawn) // MAX_RANGES] for k in range(1, MAX_RANGES)} if drawn else ())
+    lows, kind = json_array([lo.decode() for lo, _ in bounds], "string"), meta.schema["run"].dataType.simpleString()
+    numbers = json_array([run for _, run in bounds], kind)
+
+    def begun(at: Column) -> Column:
+        low = F.get(lows, at)
+        return (low < F.col("lo")) | ((low == F.col("lo")) & (F.get(numbers, at) <= F.col("run")))
+
+    meta = meta.withColumn("first", count_true(begun)).withColumn("last", count_true(lambda at: F.get(lows, at) <= F.greatest("lo", "hi")))
+    n = int(meta.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    later = meta.select("run", "lo", "hi", F.explode(blocks_over(F.col("first"))).alias("block")).repartition(n, "block").alias("x")
+    early = meta.select("run", "lo", "hi", F.explode(blocks_within(F.col("first"), F.col("last"))).alias("block")).repartition(n, "block").alias("y")
+    after = (F.col("x.lo") > F.col("y.lo")) | ((F.col("x.lo") == F.col("y.lo")) & (F.col("x.run") > F.col("y.run")))
+    meets = (F.col("x.block") == F.col("y.block")) & after & (F.col("x.run") != F.col("y.run")) & (F.col("x.lo") <= F.col("y.hi")) & (F.col("y.lo") <= F.col("x.hi"))
+    return later.join(early, meets).select(F.least("x.run", "y.run").alias("a"), F.greatest("x.run", "y.run").alias("b"))

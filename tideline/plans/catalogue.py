@@ -174,7 +174,8 @@ def _file_meta(spark, d):
 
 @query("overlap_join", f", {META_SQL} SELECT a.run AS a, b.run AS b FROM meta a JOIN meta b ON a.run < b.run AND a.lo <= b.hi AND b.lo <= a.hi")
 def _overlap_join(spark, d):
-    return compaction.overlapping_runs(compaction.file_metadata(runs(spark, d)))
+    log = event_log(spark, d).withColumn("run", F.floor(F.col("seq") / RUN))
+    return compaction.overlapping_runs(compaction.key_ranges(log))
 
 
 ORDER_SQL = """o AS (SELECT 'o:' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS key, o_orderkey // 1000 AS part, o_custkey FROM orders),
@@ -191,7 +192,7 @@ def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("overlap_orders", None)
 def _overlap_orders(spark, d):
-    return compaction.overlapping_runs(compaction.file_metadata(order_runs(spark, d)))
+    return compaction.overlapping_runs(compaction.key_ranges(order_runs(spark, d)))
 
 
 ORACLES["overlap_orders"] = f"WITH {ORDER_SQL} SELECT a.run AS a, b.run AS b FROM meta a JOIN meta b ON a.run < b.run AND a.lo <= b.hi AND b.lo <= a.hi"
