@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators.compaction import TOP, FileMeta, blocks_over, blocks_within, overlapping_runs, pick_compaction
+from tideline.operators.compaction import TOP, FileMeta, blocks_over, blocks_within, overlapping_runs, pick_compaction, widened
 from tideline.operators.resolve import MAX_RANGES
 from tideline.options import Options
 
@@ -55,3 +55,16 @@ def test_overlaps_of_long_runs_and_equal_begins(spark):
     runs = runs[:1500]
     want = {(a, b) for a, lo, hi in runs for b, lo2, hi2 in runs[a + 1 :] if lo <= hi2 and lo2 <= hi}
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize(
+    ("files", "job"),
+    [
+        ([meta(1, 0, "a", "c"), meta(2, 0, "b", "d"), meta(3, 1, "d", "e"), meta(4, 1, "f", "g")], ({1, 2, 3}, 1, True)),
+        ([meta(k, 1, f"a{k}", f"b{k}", 30) for k in range(1, 7)] + [meta(9, 2, "a2", "a4"), meta(10, 2, "x", "y"), meta(11, 3, "a", "z")], ({1, 2, 3, 9}, 2, False)),
+        ([meta(1, 0, "a", "c", 900), meta(2, 0, "b", "d", 10), meta(3, 1, "x", "y"), meta(4, 2, "z", "zz"), meta(5, 4, "c", "e"), meta(6, 4, "zzz", "zzz"), meta(7, 5, "a", "b")], ({1, 2, 3, 4, 5}, 4, False)),
+    ],
+)
+def test_a_job_takes_what_later_plans_would(files, job):
+    inputs, output, drop = widened(pick_compaction(files, CONFIG), files, CONFIG)
+    assert ({f.id for f in inputs}, output, drop) == job and len(inputs) == len(job[0])

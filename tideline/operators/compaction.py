@@ -70,15 +70,37 @@ def pick_compaction(files: list[FileMeta], options: Options) -> Plan | None:
     return None
 
 
+def widened(plan: Plan, files: list[FileMeta], options: Options) -> tuple[list[FileMeta], int, bool]:
+    """One job for a plan and those that would follow it: its inputs, output level, and whether tombstones go.
+
+    Of a level over its capacity as many of the oldest files go as bring it back. If the output
+    level would come to hold more than twice its capacity, the picker would move most of it on
+    file by file; all of it goes down at once instead.
+    """
+    own = sorted((f for f in files if f.level == plan.level), key=lambda f: f.id)
+    if plan.level == 0:
+        inputs = own
+    else:
+        inputs, excess = [], sum(f.size for f in own) - level_capacity(plan.level, options.target_level_size, options.level_size_multiplier)
+        while excess > sum(f.size for f in inputs):
+            inputs.append(own[len(inputs)])
+    output = plan.level + 1
+    while True:
+        there = [f for f in files if f.level == output]
+        if sum(f.size for f in inputs + there) <= 2 * level_capacity(output, options.target_level_size, options.level_size_multiplier):
+            return inputs + overlapping(files, output, *union_range(inputs)), output, max(f.level for f in files) <= output
+        inputs, output = inputs + there, output + 1
+
+
 def merge_runs(log: DataFrame, drop_tombstones: bool) -> DataFrame:
     """The newest record of each key of a job's inputs."""
     merged = latest(log)
     return merged.where(F.col("op") == SET) if drop_tombstones else merged
 
 
-def ordered_files(log: DataFrame, n_files: int) -> DataFrame:
-    """Rows in n disjoint key ranges, each sorted: a written part is a file of a level."""
-    return log.repartitionByRange(n_files, "key").sortWithinPartitions("key") if n_files > 1 else log.coalesce(1).sortWithinPartitions("key")
+def ordered_files(log: DataFrame, n_parts: int) -> DataFrame:
+    """Rows in n disjoint key ranges, each sorted: a written part is a file of a level, or several in order."""
+    return log.repartitionByRange(n_parts, "key").sortWithinPartitions("key") if n_parts > 1 else log.coalesce(1).sortWithinPartitions("key")
 
 
 def file_metadata(log: DataFrame, run: str = "run") -> DataFrame:
