@@ -90,3 +90,30 @@ def test_overlaps_and_existence_against_brute_force(spark, monkeypatch):
             want.add((key, seq, live.get(key, False)))
         live[key] = op == 1
     assert {tuple(x) for x in resolve.delete_existed(spark.createDataFrame(log, "key string, seq long, op int")).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def many_keys(spark, tmp_path_factory):
+    """10,000 events of 3,000 users: far over the small levels of the store queries."""
+    folder = str(tmp_path_factory.mktemp("many"))
+    rows = spark.range(10_000).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts", "id * 7919 % 3001 AS user_id", "if(id % 9 = 0, 'error', 'view') AS event_type", "concat('{', id, '}') AS props")
+    rows.write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["store_scan"])
+def test_store_queries_take_few_spark_jobs(spark, many_keys, name):
+    """There were several jobs for each file of 2 KB that moved down a level, so they grew with the table."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{many_keys}/events.parquet/*.parquet'")
+    sc = spark.sparkContext
+    sc.setJobGroup(f"few-{name}", name)
+    try:
+        df = catalogue.QUERIES[name](spark, many_keys)
+        columns = sorted(df.columns)
+        got = normal(tuple(r[c] for c in columns) for r in df.collect())
+        jobs = len(sc.statusTracker().getJobIdsForGroup(f"few-{name}"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == normal(con.sql(catalogue.ORACLES[name]).select(",".join(f'"{c}"' for c in columns)).fetchall())
+    assert 0 < jobs < 100, jobs
