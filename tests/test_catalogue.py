@@ -101,7 +101,7 @@ def many_keys(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["store_scan", "store_compact_full"])
+@pytest.mark.parametrize("name", ["store_scan", "store_compact_full", "store_range"])
 def test_store_queries_take_few_spark_jobs(spark, many_keys, name):
     """There were several jobs for each file of 2 KB that moved down a level, so they grew with the table."""
     con = duckdb.connect()
